@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillwork.llm import bpe, common, token_store
+from quillwork.llm import bpe, common, decontaminate, near_dup, secret_scan, token_store, toxicity, url_filter, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -15,6 +15,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(common.table(spark, sf_dir, "documents"), secret_scan.train())
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -25,5 +33,29 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(token_store.write(docs, tokenizer_path(), folder), folder)
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_round_trip, op4_token_files)}
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(common.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+#: Rules of op8: verdict, host, beginning of the path.
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+#: Listed canonical addresses of op8 that no rule covers.
+LISTED = [("spam-farm.example.org", "/")]
+
+
+def op8_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = common.prepare(spark).createDataFrame(LISTED, "host string, path string")
+    return url_filter.judge(common.table(spark, sf_dir, "pages"), RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.scratch(spark, "warc")
+    return warc.read(warc.write(common.table(spark, sf_dir, "pages"), folder), folder)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_bpe_round_trip, op4_token_files, op5_near_dup, op6_toxicity, op8_url_verdicts, op9_warc)}
 SQL: dict[str, str] = {}

@@ -147,13 +147,14 @@ def write(df: DataFrame, path: str, folder: str, end_id: int = 0, segment: int =
     rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId(), []
+        task, made = TaskContext.get(), []
+        part, attempt = task.partitionId(), task.taskAttemptId()
         held, keys, lengths = [], [], []
 
         def flush() -> None:
             ids = np.concatenate(held)
             start = np.concatenate([[0], np.cumsum(lengths)])
-            name = f"tokens-{part:06d}-{len(made):05d}.qwdac"
+            name = f"tokens-{part:06d}-{attempt}-{len(made):05d}.qwdac"
             common.publish(f"{folder}/{name}", to_file(ids, keys, start))
             made.append((part, len(made), name, len(keys), len(ids)))
             held.clear(), keys.clear(), lengths.clear()
