@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillwork.llm import bpe, common, decontaminate, near_dup, secret_scan, token_store, toxicity, url_filter, warc
+from quillwork.llm import ann, bpe, common, decontaminate, near_dup, secret_scan, token_store, toxicity, url_filter, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -41,6 +42,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 #: Rules of op8: verdict, host, beginning of the path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: Listed canonical addresses of op8 that no rule covers.
@@ -57,5 +62,5 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(common.table(spark, sf_dir, "pages"), folder), folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_bpe_round_trip, op4_token_files, op5_near_dup, op6_toxicity, op8_url_verdicts, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_bpe_round_trip, op4_token_files, op5_near_dup, op6_toxicity, op7_nearest, op8_url_verdicts, op9_warc)}
 SQL: dict[str, str] = {}
