@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import ann, bpe, common, decontaminate, near_dup, secret_scan, token_store, toxicity, url_filter, warc
+from quillwork.llm import ann, bpe, common, decontaminate, near_dup, secret_scan, suffix_dedup, token_store, toxicity, url_filter, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -62,5 +62,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(common.table(spark, sf_dir, "pages"), folder), folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_bpe_round_trip, op4_token_files, op5_near_dup, op6_toxicity, op7_nearest, op8_url_verdicts, op9_warc)}
+def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_bpe_round_trip, op4_token_files, op5_near_dup, op6_toxicity, op7_nearest, op8_url_verdicts, op9_warc, op10_repeated_bytes)}
 SQL: dict[str, str] = {}
