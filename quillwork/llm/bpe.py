@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillwork.llm import common
 
@@ -312,3 +313,22 @@ def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.diff(begin), pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return rows.mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+
+
+def tokenized(df: DataFrame, path: str, carry: list[str], text: str = "text") -> DataFrame:
+    """Columns ``carry`` with ``n_tokens``, ``ids`` (array<int>) and whether the ids decode to the text again."""
+    rows = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "n_tokens long, ids array<int>, same_text boolean"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.blocks(batches):
+            ids, begin = encoder(path)(b.column("text"))
+            at = decoder(path)
+            length = np.concatenate([[0], np.cumsum(at.length[ids])])[begin]
+            data = at(ids)
+            same = [data[x:y].decode("utf-8", "replace") == t for x, y, t in zip(length, length[1:], b.column("text").to_pylist())]
+            lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.diff(begin)), lists, pa.array(same)], [*b.schema.names[:-1], "n_tokens", "ids", "same_text"])
+
+    out = rows.mapInArrow(run, schema)
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), "n_tokens", "ids", "same_text")
