@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from quillwork.llm import common
 
 LENGTH, GRAM = 400, 128
-#: Bytes of a buffer; distinct segments of an anchor that still go to one.
-BUFFER, HOT = 2 << 20, 3000
+#: Bytes of a buffer and of a block of texts; distinct segments of an anchor that still go to one.
+BUFFER, BLOCK, HOT = 3 << 19, 1 << 20, 2000
 #: Intervals up to this size, or all if they hold no more suffixes, are extended suffix by suffix, others byte by byte.
 SMALL, EXPANDED = 24, 100_000
 
@@ -208,7 +208,7 @@ def anchored(docs: DataFrame, key: str, text: str, length: int, gram: int) -> Da
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.blocks(batches):
+        for b in common.blocks(batches, "text", BLOCK):
             data, begin = _flat(b.column("text"))
             own, _, _, anchor = segments(data, begin, length, gram)
             part = [data[x:y].tobytes() for x, y in zip(begin, begin[1:])]
@@ -223,7 +223,7 @@ def _cut(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """``row, first, anchor, digest, piece`` of the segments with a shared anchor; a piece comes once a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.blocks(batches):
+        for b in common.blocks(batches, "text", BLOCK):
             data, begin = _flat(b.column("text"))
             own, first, last, anchor = segments(data, begin, length, gram)
             shared = b.column("shared")
@@ -328,7 +328,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
     rows, cut = spans(docs, length, gram, key, text, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.blocks(batches):
+        for b in common.blocks(batches, "text", BLOCK):
             out = [removed(t.encode(), at, length) for t, at in zip(b.column("text").to_pylist(), b.column("at").to_pylist())]
             kept = [hashlib.sha256(k).hexdigest() for k, _, _ in out]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([n for _, n, _ in out], pa.int64()), pa.array([s for _, _, s in out], pa.int64()), pa.array(kept, pa.string())], ["own", "gone", "runs", "kept"])
