@@ -18,15 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
-#: Text bytes handled at once by a Python worker; a single longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+#: Text bytes handled at once by a Python worker, and sent to it at once; a single longer text is a block of its own.
+BLOCK_BYTES, BATCH_BYTES = 4 << 20, 4 << 20
 SHINGLE_WORDS = 5
 MIX = np.uint64(0x9E3779B97F4A7C15)
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package even where the driver's path is not theirs."""
+    """Lets Python workers import this package even where the driver's path is not theirs, and bounds their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):

@@ -38,6 +38,8 @@ from quillwork.llm.components import components
 BANDS, ROWS, SIMILARITY = 25, 5, 0.8
 #: Nodes of a bucket above which step 3 splits it by second bands.
 SPLIT_ABOVE = 32
+#: Text bytes whose darts are thrown at once.
+SKETCH_BYTES = 1 << 20
 _ONE = np.uint64(1)
 
 
@@ -113,7 +115,7 @@ def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.blocks(batches):
+        for b in common.blocks(batches, "text", SKETCH_BYTES):
             text = b.column("text")
             words = common.split_words(text)
             s = common.shingles(words)
@@ -151,7 +153,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     both = left.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.blocks(batches, "ta", common.BLOCK_BYTES // 2):
+        for b in common.blocks(batches, "ta", SKETCH_BYTES):
             s = weighted_jaccard(b.column("ta"), b.column("tb"))
             ok = pa.array(s >= similarity)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok), pa.array(s).filter(ok)], ["a", "b", "similarity"])
