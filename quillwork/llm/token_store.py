@@ -30,7 +30,7 @@ from quillwork.llm import bpe, common
 
 MAGIC, CHUNK, DIRECTORY = b"QWDAC001", 8, 64
 #: Ids of one file.
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
 
@@ -117,18 +117,40 @@ def to_file(ids: np.ndarray, key: list, start: np.ndarray) -> bytes:
     return MAGIC + struct.pack("<QQ", len(body), len(key)) + body + keys.tobytes() + null.tobytes() + np.asarray(start, "<u8").tobytes()
 
 
-def library_encoder(path: str):
-    """Encodes distinct chunks with the tokenizers library."""
+def library_encoder(path: str, together: int = 2000):
+    """Encodes distinct chunks with the tokenizers library.
+
+    Chunks that begin with a space and end without one keep their borders when they stand in a row, so the library
+    gets ``together`` of them as one text; the byte lengths of its tokens tell them apart again."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    size = bpe.decoder(path).length
 
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.int64, int(length.sum())), length
+        start, length, flat, total = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), [], 0
+        joined = [i for i, c in enumerate(chunks) if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace()]
+        for at in range(0, len(joined), together):
+            part = joined[at : at + together]
+            own = [chunks[i] for i in part]
+            got = np.array(tokenizer.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(np.fromiter((len(c.encode()) for c in own), np.int64, len(own)))
+            cut = np.searchsorted(np.cumsum(size[got]), ends) + 1
+            length[part] = np.diff(cut, prepend=0)
+            start[part] = total + cut - length[part]
+            flat.append(got)
+            total += len(got)
+        mark = np.ones(len(chunks), bool)
+        mark[joined] = False
+        for i in np.flatnonzero(mark).tolist():
+            got = np.array(tokenizer.encode_batch_fast([chunks[i]], add_special_tokens=False)[0].ids, np.uint32)
+            start[i], length[i] = total, len(got)
+            flat.append(got)
+            total += len(got)
+        ids = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+        return ids[common.ragged(start, length)], length
 
     return encode
 
