@@ -4,7 +4,7 @@ import json
 
 import numpy as np
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 from pyspark.sql import functions as F
 
 from quillwork.functions import hashing as H

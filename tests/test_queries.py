@@ -1,7 +1,7 @@
 """Every query of the library's own operators against its SQL in DuckDB."""
 
 import pytest
-from conftest import DATA
+from helpers import DATA
 
 from quillwork.plans.queries import QUERIES, SQL
 
