@@ -15,7 +15,7 @@ from quillwork.llm.queries import tokenizer_path
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, carry=docs.columns).filter("score < 0.5").select(*docs.columns)
+    return toxicity.keep_below(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

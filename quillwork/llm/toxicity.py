@@ -122,20 +122,29 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: s
     return fit([x.astype(np.int64) for x in flat], got.column("label").to_numpy().astype(float))
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``score`` of every whole text, beside ``key`` or the columns to ``carry``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [key] if carry is None else carry
-    rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, score`` of every whole text."""
+    sent, rows = docs.sparkSession.sparkContext.broadcast(model), common.plain_text(docs, key, text)
+    kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.blocks(batches):
-            s = sent.value.scores(*features(b.column("text")))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], [*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sent.value.scores(*features(b.column("text"))))], ["key", "score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "score double"])
-    out = rows.mapInArrow(run, schema)
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "score")
+    return rows.mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+
+
+def keep_below(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """``docs`` without the documents that score ``threshold`` or more."""
+    sent, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    t = names.index(text)
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.blocks(batches, f"c{t}"):
+            yield b.filter(pa.array(sent.value.scores(*features(b.column(t).fill_null(""))) < threshold))
+
+    return rows.mapInArrow(run, rows.schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def judge(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
