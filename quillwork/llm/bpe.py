@@ -30,7 +30,7 @@ from quillwork.llm import common
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE_PAIR = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
 #: Encoded pieces that a Python worker remembers between blocks.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 END, NONE = -1, 1 << 30
 
 
