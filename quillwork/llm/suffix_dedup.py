@@ -13,7 +13,8 @@ What is removed is each byte that a string of ``LENGTH`` bytes covers which also
 3.  Repeated windows go back to the texts, and their union is removed.
 
 Equal texts are handled once: all their windows are repeated.  An anchor with more than ``HOT`` distinct segments
-would not fit a buffer; there windows are counted by a 128-bit digest instead, pre-aggregated, with the same result.
+would not fit a buffer; there steps of windows, and windows of the steps that are left, are counted by 128-bit digests,
+pre-aggregated, with the same result.
 
 Defined cases: null text is empty text; texts shorter than ``LENGTH`` keep all; bytes are those of UTF-8 and kept bytes
 need not be UTF-8; repeated rows are repeated texts; null keys are carried; an empty table gives no rows; other columns
@@ -37,6 +38,8 @@ from quillwork.llm import common
 LENGTH, GRAM = 400, 128
 #: Bytes of a buffer and of a block of texts; distinct segments of an anchor that still go to one.
 BUFFER, BLOCK, HOT = 3 << 19, 1 << 20, 2000
+#: Windows that the way for larger anchors takes together.
+STEP = 8
 #: Intervals up to this size, or all if they hold no more suffixes, are extended suffix by suffix, others byte by byte.
 SMALL, EXPANDED = 24, 100_000
 
@@ -76,9 +79,14 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 
 def segments(data: np.ndarray, begin: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, first and last window and anchor hash of every segment of texts that lie end to end."""
+    return placed_segments(data, begin, length, gram)[:4]
+
+
+def placed_segments(data: np.ndarray, begin: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same, and the place of each anchor."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64), none
     h = gram_hashes(data, gram)
     bits = np.uint64(max(1, len(data).bit_length()))
     place = np.arange(len(h), dtype=np.uint64)
@@ -88,11 +96,11 @@ def segments(data: np.ndarray, begin: np.ndarray, length: int = LENGTH, gram: in
     count = np.maximum(0, size - length + 1)
     start = common.ragged(begin[:-1], count)
     if not len(start):
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64), none
     text, own = np.repeat(np.arange(len(size)), count), anchor[start]
     new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])]))
     last = np.append(new[1:], len(start)) - 1
-    return text[new], start[new], start[last], h[own[new]]
+    return text[new], start[new], start[last], h[own[new]], own[new]
 
 
 def suffix_order(t: np.ndarray, length: int) -> np.ndarray:
@@ -220,29 +228,29 @@ def anchored(docs: DataFrame, key: str, text: str, length: int, gram: int) -> Da
 
 
 def _cut(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``row, first, anchor, digest, piece`` of the segments with a shared anchor; a piece comes once a block."""
+    """``row, first, anchor, lead, digest, piece`` of the segments with a shared anchor; a piece comes once a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.blocks(batches, "text", BLOCK):
             data, begin = _flat(b.column("text"))
-            own, first, last, anchor = segments(data, begin, length, gram)
+            own, first, last, anchor, at = placed_segments(data, begin, length, gram)
             shared = b.column("shared")
             n = np.diff(np.asarray(shared.offsets))
             want = np.unique(np.stack([np.repeat(np.arange(len(n)), n), shared.flatten().to_numpy()], 1), axis=0) if n.sum() else np.zeros((0, 2), np.int64)
             known = set(map(tuple, want.tolist()))
             rows = b.column("row").to_numpy()
             out, seen = [], set()
-            for i, x, y, a in zip(own.tolist(), first.tolist(), last.tolist(), anchor.astype(np.int64).tolist()):
+            for i, x, y, a, z in zip(own.tolist(), first.tolist(), last.tolist(), anchor.astype(np.int64).tolist(), at.tolist()):
                 if (i, a) in known:
                     piece = data[x : y + length].tobytes()
                     digest = xxhash.xxh3_128_digest(piece)
-                    out.append((int(rows[i]), x - int(begin[i]), a, digest, None if digest in seen else piece))
+                    out.append((int(rows[i]), x - int(begin[i]), a, z - x, digest, None if digest in seen else piece))
                     seen.add(digest)
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["row", "first", "anchor", "digest", "piece"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["row", "first", "anchor", "lead", "digest", "piece"])
 
-    return texts.mapInArrow(run, "row long, first long, anchor long, digest binary, piece binary")
+    return texts.mapInArrow(run, "row long, first long, anchor long, lead int, digest binary, piece binary")
 
 
 def _by_transform(pieces: DataFrame, length: int) -> DataFrame:
@@ -271,16 +279,42 @@ def _by_transform(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def _by_count(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many distinct pieces: windows counted by digest."""
+    """The same for anchors with very many distinct pieces, by counts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Windows are taken ``STEP`` at a time by their distance from the anchor, so equal windows are in equal steps.  The
+    bytes that all windows of a step have are its core: a core that occurs once ends there.  Steps with the same bytes are counted as one, and only their windows are counted singly."""
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for p, lead in zip(b.column("piece").to_pylist(), b.column("lead").to_pylist()):
+                last, own = len(p) - length, []
+                for k in range((lead - last) // STEP, lead // STEP + 1):  # windows from lead - k STEP - STEP + 1 to lead - k STEP
+                    i, j = max(0, lead - k * STEP - STEP + 1), min(last, lead - k * STEP)
+                    core = p[lead - k * STEP : lead - k * STEP - STEP + 1 + length]
+                    own.append({"at": i, "upto": j, "core": xxhash.xxh3_128_digest(core, k), "whole": xxhash.xxh3_128_digest(p[i : j + length], k)})
+                out.append(own)
+            kind = pa.list_(pa.struct([("at", pa.int64()), ("upto", pa.int64()), ("core", pa.binary()), ("whole", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n"), pa.array(out, kind)], ["digest", "n", "steps"])
+
+    pieces = pieces.select("digest", "n", "lead", "piece").repartition("digest")
+    each = pieces.mapInArrow(steps, "digest binary, n long, steps array<struct<at: long, upto: long, core: binary, whole: binary>>").select("digest", "n", F.inline("steps"))
+    each = common.stored(each, "steps")
+    often = each.groupBy(F.col("core").alias("c")).agg(F.sum("n").alias("times")).filter("times > 1").select("c")
+    left = common.stored(each.join(often, F.col("core") == F.col("c"), "left_semi").select("digest", "n", "at", "upto", "whole"), "shared-steps")
+    one = left.groupBy("whole").agg(F.sum("n").alias("times"), F.min(F.struct("digest", "at", "upto")).alias("first"))
+    texts = one.select("whole", "times", F.col("first.digest").alias("digest"), F.col("first.at").alias("at"), F.col("first.upto").alias("upto")).join(pieces.select("digest", "piece"), "digest")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            marks = [[xxhash.xxh3_128_digest(p[i : i + length]) for i in range(len(p) - length + 1)] for p in b.column("piece").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n"), pa.array(marks, pa.list_(pa.binary()))], ["digest", "n", "marks"])
+            marks = [[xxhash.xxh3_128_digest(p[i : i + length]) for i in range(at, upto + 1)] for p, at, upto in zip(*(b.column(c).to_pylist() for c in ("piece", "at", "upto")))]
+            yield pa.RecordBatch.from_arrays([b.column("whole"), b.column("times"), pa.array(marks, pa.list_(pa.binary()))], ["whole", "times", "marks"])
 
-    windows = common.stored(pieces.mapInArrow(run, "digest binary, n long, marks array<binary>"), "windows").select("digest", "n", F.posexplode("marks").alias("at", "mark"))
-    often = windows.groupBy(F.col("mark").alias("m")).agg(F.sum("n").alias("times")).filter("times > 1").select("m")
-    found = windows.join(often, F.col("mark") == F.col("m")).groupBy("digest").agg(F.sort_array(F.collect_list(F.col("at").cast("long"))).alias("at"))
+    single = texts.select("whole", "times", "at", "upto", "piece").repartition("whole").mapInArrow(windows, "whole binary, times long, marks array<binary>").select("whole", "times", F.posexplode("marks").alias("k", "mark"))
+    single = common.stored(single, "windows")
+    again = single.groupBy(F.col("mark").alias("m")).agg(F.sum("times").alias("all")).filter("all > 1").select("m")
+    hits = single.join(again, F.col("mark") == F.col("m"), "left_semi").groupBy("whole").agg(F.collect_list(F.col("k").cast("long")).alias("ks"))
+    found = left.join(hits, "whole").groupBy("digest").agg(F.array_sort(F.flatten(F.collect_list(F.transform("ks", lambda k: k + F.col("at"))))).alias("at"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -301,7 +335,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "d
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     texts = common.stored(source.join(wanted, "row"), "texts")
     pieces = common.stored(_cut(texts, length, gram), "pieces")
-    distinct = common.stored(pieces.groupBy("digest").agg(F.first("anchor").alias("anchor"), F.max("piece").alias("piece"), F.count(F.lit(1)).alias("n")), "distinct-pieces")
+    distinct = common.stored(pieces.groupBy("digest").agg(F.first("anchor").alias("anchor"), F.first("lead").alias("lead"), F.max("piece").alias("piece"), F.count(F.lit(1)).alias("n")), "distinct-pieces")
     many = common.stored(distinct.groupBy(F.col("anchor").alias("k")).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot).select("k"), "hot-anchors")
     if many.isEmpty():
         found = _by_transform(distinct, length)
