@@ -137,7 +137,8 @@ def multiset_drift(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def highlighted(c: Column, marker: str) -> Column:
-    return F.regexp_replace(c, rf"(?i)\b({re.escape(marker)})\b", "**$1**")
+    """The whole marker, any case, in asterisks; letters and digits of any script and the underscore are inside a word."""
+    return F.regexp_replace(c, rf"(?iu)(?<![\p{{L}}\p{{N}}_])({re.escape(marker)})(?![\p{{L}}\p{{N}}_])", "**$1**")
 
 
 def unhighlighted(c: Column) -> Column:
