@@ -11,7 +11,8 @@ from quillwork.operators import scoring as S
 from quillwork.plans.registry import query
 from quillwork.plans.roles import BLOCKS_SQL, INITIALS_SQL, LABELLED_SQL, SCORES_SQL, candidates, decisions, initials, scores
 
-REPLICATES, SEED = 60, 20261005
+#: Replicates of the queries that have SQL, and of the planned analysis.
+REPLICATES, PLANNED_REPLICATES, SEED = 60, 9999, 20261005
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,10 +236,19 @@ def bootstrap_counts(spark, sf_dir):
     return E.hash_draws(decisions(spark, sf_dir), REPLICATES, SEED)
 
 
-def _boot(spark, sf_dir) -> DataFrame:
-    keys = ["run", "quantity"]
-    per = E.decision_values(B.values(blocks(spark, sf_dir), ("movement",), cells=False), keys)
-    return E.summarise(E.replicate_estimates(per, E.hash_draws(decisions(spark, sf_dir), REPLICATES, SEED), keys), keys)
+def _boot(spark, sf_dir, replicates: int = REPLICATES, outcomes: tuple[str, ...] = ("movement",), keys: tuple[str, ...] = ("run", "quantity")) -> DataFrame:
+    per = E.decision_values(B.values(blocks(spark, sf_dir), outcomes, cells=False), [*keys])
+    return E.summarise(E.replicate_estimates(per, E.hash_draws(decisions(spark, sf_dir), replicates, SEED), [*keys]), [*keys])
+
+
+def _planned_boot(spark, sf_dir, replicates: int = PLANNED_REPLICATES) -> DataFrame:
+    return _boot(spark, sf_dir, replicates, ("movement", "flip"), ("run", "outcome", "quantity"))
+
+
+def _planned_holm(summaries: DataFrame) -> DataFrame:
+    """The planned families: four contrasts of an outcome and run; the interaction stands apart."""
+    h = E.holm(summaries.filter("quantity <> 'interaction'").select("run", "outcome", "quantity", "p_boot"), ["run", "outcome"], "quantity")
+    return h.select("run", "outcome", "quantity", "p_boot", "family_size", F.round("p_holm", 6).alias("p_holm"))
 
 
 _BOOT_SQL = f"""{values_sql(outcomes=('movement',), cells=False)}, {_DRAWS_SQL},
@@ -259,6 +269,23 @@ def holm_adjusted(spark, sf_dir):
     return h.select("run", "quantity", "p_boot", "family_size", F.round("p_holm", 6).alias("p_holm"))
 
 
+@query(None)
+def bootstrap_counts_planned(spark, sf_dir):
+    """All planned replicates; the tests compare a few of them with a loop."""
+    return E.hash_draws(decisions(spark, sf_dir), PLANNED_REPLICATES, SEED)
+
+
+@query(None)
+def bootstrap_intervals_planned(spark, sf_dir):
+    """Both outcomes at all planned replicates."""
+    return _planned_boot(spark, sf_dir)
+
+
+@query(None)
+def holm_adjusted_planned(spark, sf_dir):
+    return _planned_holm(_planned_boot(spark, sf_dir))
+
+
 @query(f"""SELECT g.run, g.order_id, g.slot, count(i.initial_id) AS n, max(t.readings) AS readings, round(100.0*count(i.initial_id)/max(t.readings), 6) AS pct
 FROM (SELECT * FROM (VALUES ('base'), ('instruct')) a(run), (VALUES ('o1'), ('o2')) b(order_id), (VALUES ('A'), ('B'), ('tie')) c(slot)) g
 LEFT JOIN (SELECT *, coalesce(initial_label, 'tie') AS slot FROM ({LABELLED_SQL})) i ON i.run = g.run AND i.order_id = g.order_id AND i.slot = g.slot
@@ -292,11 +319,21 @@ def rescoring_mismatches(spark, sf_dir):
     return S.rescoring_mismatches(own, own, keys, ["m_before", "m_after", "movement", "final_label", "flip"]).select(*keys)
 
 
-@query(None)
-def kernel_bootstrap(spark, sf_dir):
-    """The PCG64 kernel over nations as decisions (few, as in the design): no SQL form."""
+def _kernel(spark, sf_dir) -> DataFrame:
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("nk"), F.col("n_regionkey").cast("string").alias("region"))
     who = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("decision_id"), F.col("c_nationkey").alias("nk")).join(F.broadcast(nation), "nk")
-    v = B.values(blocks(spark, sf_dir), ("movement",), cells=False).join(who, "decision_id")
+    v = B.values(blocks(spark, sf_dir), cells=False).join(who, "decision_id")
     v = v.withColumn("decision_id", F.lpad(F.col("nk").cast("string"), 2, "0")).withColumn("domain", F.col("region"))
-    return E.kernel_summaries(E.decision_values(v, ["run", "quantity"]), ["run", "quantity"], replicates=999)
+    keys = ["run", "outcome", "quantity"]
+    return E.kernel_summaries(E.decision_values(v, keys), keys, PLANNED_REPLICATES, SEED)
+
+
+@query(None)
+def kernel_bootstrap(spark, sf_dir):
+    """The PCG64 kernel over nations as decisions (few, as in the design), both outcomes: no SQL form."""
+    return _kernel(spark, sf_dir)
+
+
+@query(None)
+def kernel_holm(spark, sf_dir):
+    return _planned_holm(_kernel(spark, sf_dir))
