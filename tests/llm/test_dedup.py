@@ -156,3 +156,15 @@ def test_odd_rows_by_either_way(spark, odd, empty, hot):
     got = sorted(map(str, (tuple(r) for r in suffix_dedup.dedup(odd, hot=hot).collect())))
     assert got == sorted(str((k, *v)) for (k, _), v in zip(rows, brute_bytes([t for _, t in rows], 400)))
     assert suffix_dedup.dedup(empty).count() == 0
+
+
+def test_pairs_that_share_one_large_bucket(spark):
+    """Two near copies whose only band in common is that of a crowd of unlike texts, which has another leader."""
+    rng = random.Random(5)
+    texts = [" ".join(f"u{i}x{rng.randint(0, 999)}" for _ in range(60)) for i in range(near_dup.SPLIT_ABOVE + 8)]
+    texts[21] = texts[20] + " end"
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    place = {r["text"]: r["row"] for r in common.plain_text(docs, "doc_id", "text").selectExpr("text", "monotonically_increasing_id() AS row").collect()}
+    sketches = spark.createDataFrame([(i, place[t], hashlib.md5(t.encode()).digest(), len(t.split()) - 4, [1, *(1000 * (i + 1) + b for b in range(24))]) for i, t in enumerate(texts)], "key long, row long, content binary, n long, bands array<long>")
+    links = near_dup.links_of(sketches, docs)[1]
+    assert {(r["a"], r["b"]) for r in links.collect()} == {(place[texts[20]], place[texts[21]])}
