@@ -311,12 +311,34 @@ def agreement_with_reference(spark, sf_dir):
     return both.withColumn("order_id", F.coalesce("order_id", F.lit("all")))
 
 
+RECORDED = ["m_before", "m_after", "movement", "final_label", "flip"]
+ROW_KEYS = ["run", "initial_id", "opening_id", "condition", "marker_id"]
+
+
+def _recomputed(spark, sf_dir) -> DataFrame:
+    """The recorded fields by another path than the scores': from the signs and sizes of the logit differences alone."""
+    rows = candidates(spark, sf_dir).withColumn("d", F.col("logit_a") - F.col("logit_b")).withColumn("e", F.col("after_a") - F.col("after_b")).filter("d <> 0")
+    m_after = F.expr("-sign(d) * e")
+    return rows.select(
+        *ROW_KEYS, (-F.abs("d")).alias("m_before"), m_after.alias("m_after"), (m_after + F.abs("d")).alias("movement"), F.expr("CASE sign(e) WHEN 1 THEN 'A' WHEN -1 THEN 'B' END").alias("final_label"), F.expr("CASE WHEN e <> 0 THEN sign(d) <> sign(e) END").alias("flip")
+    )
+
+
 @query(f"SELECT run, initial_id, opening_id, condition, marker_id FROM ({SCORES_SQL}) WHERE FALSE")
 def rescoring_mismatches(spark, sf_dir):
     """Recorded rows against their recomputation: none may differ."""
-    own = scores(spark, sf_dir)
-    keys = ["run", "initial_id", "opening_id", "condition", "marker_id"]
-    return S.rescoring_mismatches(own, own, keys, ["m_before", "m_after", "movement", "final_label", "flip"]).select(*keys)
+    return S.rescoring_mismatches(scores(spark, sf_dir), _recomputed(spark, sf_dir), ROW_KEYS, RECORDED).select(*ROW_KEYS)
+
+
+@query(f"""SELECT run, initial_id, opening_id, condition, marker_id, CASE initial_id % 7 WHEN 0 THEN 'absent' WHEN 1 THEN 'm_after,movement' WHEN 2 THEN 'final_label' ELSE 'flip' END AS mismatched
+FROM ({SCORES_SQL}) WHERE initial_id % 7 < 2 OR (initial_id % 7 = 2 AND final_label IS NOT NULL) OR (initial_id % 7 = 3 AND flip IS NULL)""")
+def rescoring_planted(spark, sf_dir):
+    """Recorded rows with planted differences: moved values, lost labels, invented flips, and rows that recompute to nothing."""
+    k = F.col("initial_id") % 7
+    own = scores(spark, sf_dir).withColumn("m_after", F.col("m_after") + F.when(k == 1, 0.0625).otherwise(0.0)).withColumn("movement", F.col("movement") + F.when(k == 1, 0.0625).otherwise(0.0))
+    own = own.withColumn("final_label", F.when(k != 2, F.col("final_label"))).withColumn("flip", F.when(k == 3, F.coalesce("flip", F.lit(False))).otherwise(F.col("flip")))
+    found = S.rescoring_mismatches(own, _recomputed(spark, sf_dir).filter(k != 0), ROW_KEYS, RECORDED)
+    return found.select(*ROW_KEYS, F.array_join("mismatched", ",").alias("mismatched"))
 
 
 def _kernel(spark, sf_dir) -> DataFrame:
