@@ -31,11 +31,11 @@ def stratified_pick(units: DataFrame, quotas: DataFrame, stratum: str, unit: str
 
 
 def blind_ids(units: DataFrame, unit: str, prefix: str, seed: int) -> DataFrame:
-    """Sequence labels in hash order, and a side flip by hash parity."""
+    """Sequence labels in hash order, of five digits or as many as the number has, and a side flip by hash parity."""
     mark = hash_order(seed, prefix, F.col(unit))
     place = F.row_number().over(Window.orderBy(mark, F.col(unit)))
     flip = F.conv(F.substring(mark, 32, 1), 16, 10).cast("int") % 2 == 1
-    return units.withColumn("blind_id", F.concat(F.lit(prefix), F.lpad(place.cast("string"), 5, "0"))).withColumn("flipped", flip)
+    return units.withColumn("blind_id", F.concat(F.lit(prefix), F.format_string("%05d", place))).withColumn("flipped", flip)
 
 
 def min_gap(rows: DataFrame, key: str, position: str) -> DataFrame:
