@@ -9,6 +9,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillwork.functions.text import ngrams
 from quillwork.operators.checks import findings, union
 
 POSITIONS = ((1, "opt_1"), (1, "opt_2"), (2, "opt_1"), (2, "opt_2"))
@@ -103,8 +104,11 @@ def problems(rows: DataFrame, decisions: int = 60) -> DataFrame:
 
 
 def collisions(scenarios: DataFrame, markers: DataFrame) -> DataFrame:
-    """``scenario_id, marker`` where the marker's text already occurs in the scenario (the marker table has a dozen rows)."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("scenario_text"), r"[^\p{L}\p{N}'’-]+", " "), F.lit(" "))
-    names = [r["marker"] for r in markers.select("marker").distinct().limit(1000).collect()]
-    hits = F.filter(F.array(*map(F.lit, sorted(names))), lambda m: F.contains(padded, F.concat(F.lit(" "), F.lower(m), F.lit(" "))))
-    return scenarios.select("scenario_id", F.explode(hits).alias("marker"))
+    """``scenario_id, marker`` where the marker's text already occurs in the scenario, by a join on its phrases.
+
+    Phrases are as long as some marker; the markers' distinct word counts are few, the markers may be many."""
+    text = F.trim(F.regexp_replace(F.lower("scenario_text"), r"[^\p{L}\p{N}'’-]+", " "))
+    own = markers.select("marker", F.lower("marker").alias("_phrase")).distinct()
+    lengths = [r["n"] for r in own.select(F.size(F.split("_phrase", " ")).alias("n")).filter("n > 0").distinct().collect()]
+    phrases = F.array_distinct(F.flatten(F.array(*(ngrams(F.split(text, " "), n) for n in sorted(lengths)), F.array().cast("array<string>"))))
+    return scenarios.select("scenario_id", F.explode(phrases).alias("_phrase")).join(own, "_phrase").select("scenario_id", "marker")
