@@ -8,13 +8,20 @@ coordinates are bucket keys.
 1.  Texts with the same words in a row are one node (exact copies never meet each other again).
 2.  In each bucket every node is paired with the least node alone: as many pairs as rows, however large the bucket.
     Pairs whose sizes allow it are verified by exact weighted Jaccard; connected components of the links follow.
-3.  Only buckets that still hold several components go on, and only across components.  A large one is first split
-    by every second band that its nodes share, which links most of what is alike; what is linked joins the components.
-4.  The pairs of large buckets that are across components even then are verified too, so every two nodes that share a
-    band end in one component or are compared.  Unlike nodes with a band in common make pairs that grow with the square.
+3.  Each bucket that still holds several components gets a pivot p, the root of its largest one.  Every node x of it is
+    compared with p, once for each pivot, and the signed difference D(x) = x - p of the shingle counts is kept.
+    |x - y| = |D(x)| + |D(y)| - 2 common(D(x), D(y)), so if x and y are alike and not both alike to p, their differences
+    have at least (|D(x)| + |D(y)| - c (|x| + |y|)) / 2 > 0 elements in common, with c = (1 - s) / (1 + s) at similarity s.
+    Each node posts a prefix of its differences, what is new before what is lost, that must hold one of these.
+4.  In each group of equal posts all are paired with the least node first, and components are joined.  Pairs that are
+    across components even then are compared if sizes, places in the prefixes and bitmaps of the differences allow the
+    elements that they must have in common.
+
+So every two nodes that share a band end in one component or are shown to be unlike, in buckets of every size, and pairs
+follow the number of nodes as long as unlike texts differ from a pivot in different ways.
 
 With 25 bands of 5 a pair at similarity 0.8 shares no band, and is missed if nothing else links it, with probability 5e-5.
-Bucket leaders are joined back by key and texts by row: plain joins, whose hot keys adaptive execution splits.
+Leaders and pivots are joined back by key and texts by row: plain joins, whose hot keys adaptive execution splits.
 
 Defined cases: null text is empty text; a text of one to four words has one shingle, all its words; texts without words
 are copies only if they are the same text; repeated rows are copies of each other; rows with a null key take part; an
@@ -37,8 +44,8 @@ from quillwork.llm import common
 from quillwork.llm.components import components
 
 BANDS, ROWS, SIMILARITY = 25, 5, 0.8
-#: Nodes of a bucket above which step 3 splits it by second bands, and step 4 takes the rest.
-SPLIT_ABOVE = 32
+#: 64-bit words of the bitmaps of what is new in a text, and of what it lacks.
+MAP_WORDS = 8
 #: Text bytes whose darts are thrown at once.
 SKETCH_BYTES = 1 << 20
 _ONE = np.uint64(1)
@@ -167,17 +174,91 @@ def _alike(similarity: float):
     return F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - 1e-9
 
 
-def _across(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of nodes of a bucket that are in different components so far."""
-    a = members.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    b = members.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    return a.join(b, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _alike(similarity)).select("a", "b")
+def _reach(linked: np.ndarray, n: np.ndarray, pivot: np.ndarray, d: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the prefixes that meet a partner whose difference from the pivot is no smaller, and no larger."""
+    c, most = (1 - similarity) / (1 + similarity), n / similarity
+    ahead = np.ceil(d - c * (n + most) / 2 - 1e-6)
+    ahead = np.maximum(ahead, np.floor((d + c * (pivot - np.where(linked, n, most))) / 2 - 1e-6) + 1)
+    behind = np.ceil(d - c * (n + most) - 1e-6)
+    behind = np.where(linked, np.maximum(behind, np.floor((d + c * (pivot - n)) / 2 - 1e-6) + 1), behind)
+    return tuple(np.maximum(0, d - np.maximum(1, x).astype(np.int64) + 1) for x in (ahead, behind))
 
 
-def _open(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, with the number of nodes in theirs."""
-    still = members.groupBy(F.col("bucket").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("k", "size")
-    return members.join(still, F.col("bucket") == F.col("k")).drop("k")
+def differences(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``p, node, similarity, linked, n, d, new, map, posts`` of pairs (p, node): sizes of the text and of its difference
+    from the pivot, of which ``new`` is what the pivot lacks; the two bitmaps; posted elements with their places."""
+    left = pairs.join(texts.select(F.col("row").alias("p"), F.col("text").alias("ta")), "p")
+    both = left.join(texts.select(F.col("row").alias("node"), F.col("text").alias("tb")), "node").select("p", "node", "ta", "tb")
+    kinds = pa.struct([("g", pa.int64()), ("pos", pa.int32()), ("short", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.blocks(batches, "tb", SKETCH_BYTES):
+            k = b.num_rows
+            oa, va, wa = elements(common.shingles(common.split_words(b.column("ta"))))
+            ob, vb, wb = elements(common.shingles(common.split_words(b.column("tb"))))
+            pivot, n = np.bincount(oa, wa, minlength=k).astype(np.int64), np.bincount(ob, wb, minlength=k).astype(np.int64)
+            owner, value, weight = np.concatenate([oa, ob]), np.concatenate([va, vb]), np.concatenate([-wa, wb]).astype(np.int64)
+            order = np.lexsort((value, owner))
+            owner, value, weight = owner[order], value[order], weight[order]
+            at = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])])) if len(owner) else np.zeros(0, np.int64)
+            weight = np.add.reduceat(weight, at) if len(at) else weight
+            owner, value = owner[at], value[at]
+            owner, value, weight = (x[weight != 0] for x in (owner, value, weight))
+            order = np.lexsort((value, weight < 0, owner))
+            owner, value, weight = owner[order], value[order], weight[order]
+            times = np.abs(weight)
+            lost = np.repeat(weight < 0, times)
+            which = common.ragged(np.zeros(len(times), np.int64), times)
+            owner = np.repeat(owner, times)
+            seed = common.mixed(b.column("p").to_numpy().astype(np.uint64) + common.MIX)
+            g = common.mixed(np.repeat(value, times) + common.MIX * (2 * which + lost).astype(np.uint64) + seed[owner])
+            d = np.bincount(owner, minlength=k)
+            new = np.bincount(owner[~lost], minlength=k)
+            alike = (n + pivot - d) / np.maximum(n + pivot + d, 1)
+            linked = alike >= similarity
+            bits = np.zeros((k, 2 * MAP_WORDS), np.uint64)
+            place = (g >> np.uint64(40)).astype(np.int64) % (64 * MAP_WORDS)
+            np.bitwise_or.at(bits, (owner, lost * MAP_WORDS + (place >> 6)), _ONE << (place & 63).astype(np.uint64))
+            ahead, behind = _reach(linked, n, pivot, d, similarity)
+            pos = common.ragged(np.zeros(k, np.int64), d)
+            use = pos < np.maximum(ahead, behind)[owner]
+            posts = pa.StructArray.from_arrays([pa.array(g[use].astype(np.int64)), pa.array(pos[use].astype(np.int32)), pa.array((pos < ahead[owner])[use])], fields=list(kinds))
+            cut = np.concatenate([[0], np.cumsum(np.bincount(owner[use], minlength=k))]).astype(np.int32)
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * 2 * MAP_WORDS), pa.array(bits.astype(np.int64).ravel()))
+            columns = [b.column("p"), b.column("node"), pa.array(alike), pa.array(linked), pa.array(n), pa.array(d), pa.array(new), maps, pa.ListArray.from_arrays(pa.array(cut), posts)]
+            yield pa.RecordBatch.from_arrays(columns, ["p", "node", "similarity", "linked", "n", "d", "new", "map", "posts"])
+
+    return both.mapInArrow(run, "p long, node long, similarity double, linked boolean, n long, d long, new long, map array<long>, posts array<struct<g: long, pos: int, short: boolean>>")
+
+
+def _rooted(df: DataFrame, root: DataFrame) -> DataFrame:
+    return df.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _live(posts: DataFrame) -> DataFrame:
+    """Posts of groups that can hold a link across components, with the group's least node that posts ahead."""
+    ahead = F.min(F.when(F.col("short"), F.struct("node", "n", "root")))
+    live = posts.groupBy(F.col("g").alias("k")).agg(ahead.alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_and("linked").alias("near"))
+    return posts.join(live.filter("lead IS NOT NULL AND lo <> hi AND NOT near").select("k", "lead"), F.col("g") == F.col("k")).drop("k")
+
+
+def _left_over(live: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of posts (with bitmaps) across components that can have as many differences in common as they must."""
+    names = ["node", "root", "linked", "n", "d", "new", "pos", "short", "map"]
+    x, y = (live.select("g", *(F.col(c).alias(f"{side}_{c}") for c in names)) for side in "xy")
+    c = (1 - similarity) / (1 + similarity)
+    need = F.greatest(F.lit(1.0), F.ceil((F.col("x_d") + F.col("y_d") - c * (F.col("x_n") + F.col("y_n"))) / 2 - 1e-6))
+
+    def only(side: str, other: str, first: int):
+        maps = [F.bit_count(F.col(f"{side}_map")[i].bitwiseAND(F.bitwise_not(F.col(f"{other}_map")[i]))) for i in range(first, first + MAP_WORDS)]
+        return sum(maps[1:], maps[0])
+
+    size = lambda side, lost: F.col(f"{side}_d") - F.col(f"{side}_new") if lost else F.col(f"{side}_new")
+    common_at_most = sum((F.least(size("x", k) - only("x", "y", k * MAP_WORDS), size("y", k) - only("y", "x", k * MAP_WORDS)) for k in (0, 1)), F.lit(0))
+    fits = F.col("x_short") & (F.col("x_root") != F.col("y_root")) & ~(F.col("x_linked") & F.col("y_linked"))
+    fits = fits & (F.struct("x_d", "x_node") < F.struct("y_d", "y_node")) & (F.least("x_n", "y_n") >= F.greatest("x_n", "y_n") * F.lit(similarity) - 1e-9)
+    fits = fits & (need <= F.least(F.col("x_d") - F.col("x_pos"), F.col("y_d") - F.col("y_pos"))) & (need <= common_at_most)
+    return x.join(y, "g").filter(fits).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def links_of(sketches: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -192,23 +273,24 @@ def links_of(sketches: DataFrame, docs: DataFrame, similarity: float = SIMILARIT
     wanted = shared.select(F.col("node").alias("row")).distinct()
     texts = common.stored(rows.join(wanted, "row", "left_semi"), "texts")
     stars = shared.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
-    stars = common.stored(stars.filter((F.col("a") != F.col("b")) & _alike(similarity)).select("a", "b").distinct(), "stars")
+    stars = stars.filter((F.col("a") != F.col("b")) & _alike(similarity)).select("a", "b").distinct()
     first = common.stored(verified(stars, texts, similarity), "links")
-    root = components(first)
-    members = shared.select("bucket", "node", "n").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    still = common.stored(_open(members), "open-buckets")
-    pairs = _across(still.filter(F.col("size") <= SPLIT_ABOVE), similarity)
-    hot = still.filter(F.col("size") > SPLIT_ABOVE)
-    others = shared.select(F.col("node").alias("node"), F.col("bucket").alias("second"))
-    split = hot.drop("size").join(others, "node").filter("bucket <> second").withColumn("bucket", F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second"))).drop("second")
-    pairs = pairs.unionByName(_across(_open(split.dropDuplicates(["bucket", "node"])).drop("size"), similarity)).distinct()
-    pairs = common.stored(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    second = common.stored(verified(pairs, texts, similarity), "links")
-    links = first.unionByName(second)
-    root = components(links)
-    members = hot.drop("size", "root").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = _across(_open(members), similarity).distinct().join(stars, ["a", "b"], "left_anti").join(pairs, ["a", "b"], "left_anti")
-    return nodes, links.unionByName(common.stored(verified(common.stored(rest, "rest"), texts, similarity), "links"))
+    root = common.stored(components(first), "roots")
+    size = root.groupBy(F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("size"))
+    members = _rooted(shared.select("bucket", "node"), root.join(size, F.col("root") == F.col("r")).drop("r")).withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
+    still = members.groupBy(F.col("bucket").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("size", "root")).alias("most")).filter("lo <> hi").select("k", F.col("most.root").alias("p"))
+    pairs = members.join(still, F.col("bucket") == F.col("k")).filter("node <> p").select("p", "node").distinct()
+    near = common.stored(differences(pairs, texts, similarity), "differences")
+    second = near.filter("linked").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"), "similarity")
+    posts = _rooted(near.drop("map", "similarity"), root).select("p", "node", "root", "linked", "n", "d", "new", F.inline("posts"))
+    live = common.stored(_live(posts), "posts")
+    leads = live.filter("root <> lead.root").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
+    third = common.stored(verified(leads.filter(_alike(similarity)).select("a", "b").distinct(), texts, similarity), "links")
+    links = first.unionByName(second).unionByName(third)
+    root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(third.select("a", "b")))
+    left = _live(_rooted(live.drop("root", "lead"), root)).drop("lead").join(near.select("p", "node", "map"), ["p", "node"])
+    rest = _left_over(common.stored(left, "live-posts"), similarity)
+    return nodes, links.unionByName(common.stored(verified(rest, texts, similarity), "links"))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:

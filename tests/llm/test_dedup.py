@@ -60,7 +60,7 @@ def test_odd_rows(spark, odd, empty):
     assert near_dup.classes(empty).count() == 0 and near_dup.keep_one(empty).count() == 0
 
 
-def test_a_large_group_of_near_copies(spark, monkeypatch, tmp_path):
+def test_a_large_group_of_near_copies(spark, tmp_path):
     """Chains and large buckets: every text differs from a base in a few words."""
     rng = random.Random(2)
     base = [f"w{i}" for i in range(200)]
@@ -72,11 +72,34 @@ def test_a_large_group_of_near_copies(spark, monkeypatch, tmp_path):
         rows.append((k, " ".join(words)))
     rows += [(200 + k, " ".join(base[:80] + [f"y{k}_{i}" for i in range(80)])) for k in range(60)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
-    monkeypatch.setattr(near_dup, "SPLIT_ABOVE", 8)
     got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.read.parquet(str(tmp_path / "d"))).collect()}
     assert got == {k: c for (k, _), c in zip(rows, brute_classes(rows))}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_links_of_one_bucket_are_complete(spark, seed):
+    """Families with edits of all kinds, repeated words and chains in a single bucket: the components are those of all pairs."""
+    rng = random.Random(seed)
+    bases = [[f"w{rng.randint(0, 60)}" for _ in range(rng.choice([40, 90, 120]))] for _ in range(2)]
+    bases.append(bases[0][:60] + [f"t{i}" for i in range(12)] + bases[0][60:])
+    texts = []
+    for k in range(140):
+        words = list(rng.choice(bases)) if k % 3 or not texts else texts[rng.randrange(len(texts))].split()
+        for _ in range(rng.choice([0, 1, 2, 2, 3, 5, 8])):
+            at = rng.randrange(len(words))
+            words[at : at + rng.choice([0, 1, 1, 2])] = [rng.choice([f"x{k}", f"y{rng.randint(0, 3)}", "w1"]) for _ in range(rng.choice([0, 1, 1, 2]))]
+        texts.append(" ".join(words))
+    texts = list(dict.fromkeys(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    place = {r["text"]: r["row"] for r in common.plain_text(docs, "doc_id", "text").selectExpr("text", "monotonically_increasing_id() AS row").collect()}
+    sketches = spark.createDataFrame([(i, place[t], hashlib.md5(t.encode()).digest(), sum(shingles(t).values()), [1]) for i, t in enumerate(texts)], "key long, row long, content binary, n long, bands array<long>")
+    root = {r["node"]: r["root"] for r in components.components(near_dup.links_of(sketches, docs)[1]).collect()}
+    got = [root.get(place[t], place[t]) for t in texts]
+    want = brute_classes(list(enumerate(texts)))
+    assert len(set(want)) > 5 and max(Counter(want).values()) > 5
+    assert {frozenset(i for i, c in enumerate(got) if c == k) for k in set(got)} == {frozenset(i for i, c in enumerate(want) if c == k) for k in set(want)}
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     n, k = 60, 2000
@@ -161,7 +184,7 @@ def test_odd_rows_by_either_way(spark, odd, empty, hot):
 def test_pairs_that_share_one_large_bucket(spark):
     """Two near copies whose only band in common is that of a crowd of unlike texts, which has another leader."""
     rng = random.Random(5)
-    texts = [" ".join(f"u{i}x{rng.randint(0, 999)}" for _ in range(60)) for i in range(near_dup.SPLIT_ABOVE + 8)]
+    texts = [" ".join(f"u{i}x{rng.randint(0, 999)}" for _ in range(60)) for i in range(40)]
     texts[21] = texts[20] + " end"
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
     place = {r["text"]: r["row"] for r in common.plain_text(docs, "doc_id", "text").selectExpr("text", "monotonically_increasing_id() AS row").collect()}
