@@ -28,9 +28,10 @@ from quillwork.llm import common
 
 #: The pieces of byte-level BPE (fixed value; also public_tokenizers.PATTERN).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WHITE_PAIR = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
-#: Encoded pieces that a Python worker remembers between blocks.
-REMEMBERED = 800_000
+WHITE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WHITE_PAIR = f"[{WHITE}]{{2}}"
+#: Bytes of encoded chunks (texts, ids and their places) that a Python worker remembers between blocks.
+REMEMBERED_BYTES = 48 << 20
 END, NONE = -1, 1 << 30
 
 
@@ -145,28 +146,34 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Chunks:
-    """Encodes texts by their space-bounded chunks; ``encode`` gets distinct chunks and returns their ids."""
+    """Encodes texts by their space-bounded chunks; ``encode`` gets an array of distinct chunks and returns their ids."""
 
     def __init__(self, encode) -> None:
         self.encode = encode
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.start = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, chunks: list[str]) -> np.ndarray:
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > REMEMBERED and self.known:  # forget, and learn this block alone
-            self.known, self.start, self.length, self.ids = {}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-            new = chunks
-        if new:
+    def _learn(self, chunks: pa.Array) -> np.ndarray:
+        """Where each of the distinct ``chunks`` is among those known; beyond the limit only these are remembered."""
+        found = pc.index_in(chunks, value_set=self.known)
+        place = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            new = chunks.take(pa.array(unknown))
             ids, length = self.encode(new)
-            base = len(self.known)
-            self.known.update(zip(new, range(base, base + len(new))))
+            place[unknown] = len(self.known) + np.arange(len(unknown))
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
+            self.length = np.concatenate([self.length, length.astype(np.int32)])
             self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
-        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+            self.known = pa.concat_arrays([self.known, new])
+        if self.known.nbytes + self.start.nbytes + self.length.nbytes + self.ids.nbytes > REMEMBERED_BYTES and len(self.known) > len(chunks):
+            start, self.length = self.start[place], self.length[place]
+            self.ids = self.ids[common.ragged(start, self.length.astype(np.int64))]
+            self.start = np.cumsum(self.length, dtype=np.int64) - self.length
+            self.known, place = chunks, np.arange(len(chunks))
+        return place
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's begin (one more entry than texts)."""
@@ -184,24 +191,17 @@ class Chunks:
         first = np.zeros(len(flat), bool)
         first[begin] = True
         spaced = pc.binary_join_element_wise(pc.if_else(pa.array(first), "", " ").cast(pa.large_string()), flat, pa.scalar("", pa.large_string()))
-        encoded = spaced.dictionary_encode()
-        chunks = encoded.dictionary.to_pylist()
-        code = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         if odd.any():  # texts with wider white space are cut one by one
-            at = {c: i for i, c in enumerate(chunks)}
-            pieces: list[int] = []
-            for i in np.flatnonzero(odd).tolist():
-                cut = regex.split(r"(?<=\S)(?= \S)(?<![\x1c-\x1f])(?! [\x1c-\x1f])", text[i].as_py())
-                for c in cut:
-                    pieces.append(at.setdefault(c, len(at)))
-                count[i] = len(cut)
-            chunks = list(at)
-            start = np.zeros(n, np.int64)
-            start[~odd] = begin[~odd]
-            start[odd] = len(code) + np.cumsum(count[odd]) - count[odd]
-            code = np.concatenate([code, np.array(pieces, np.int64)])[common.ragged(start, count)]
-        piece = self._learn(chunks)[code]
-        length = self.length[piece]
+            cut = [regex.split(r"(?<=\S)(?= \S)(?<![\x1c-\x1f])(?! [\x1c-\x1f])", text[i].as_py()) for i in np.flatnonzero(odd).tolist()]
+            count[odd] = [len(c) for c in cut]
+            begin[odd] = len(spaced) + np.cumsum(count[odd]) - count[odd]
+            spaced = pa.concat_arrays([spaced, pa.array([c for x in cut for c in x], pa.large_string())])
+        encoded = spaced.dictionary_encode()
+        code = encoded.indices.to_numpy(zero_copy_only=False)
+        piece = self._learn(encoded.dictionary)[code]
+        if odd.any():
+            piece = piece[common.ragged(begin, count)]
+        length = self.length[piece].astype(np.int64)
         out = self.ids[common.ragged(self.start[piece], length)]
         edge = np.concatenate([[0], np.cumsum(count)])
         return out, np.concatenate([[0], np.cumsum(length)])[edge]
@@ -213,12 +213,12 @@ def own_encoder(path: str):
     find = regex.compile(PATTERN)
     special = regex.compile("|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True)))) if vocab.special else None
 
-    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         at: dict[bytes, int] = {}
         use: list[int] = []
         count = np.zeros(len(chunks), np.int64)
         marks = list(vocab.special.values())
-        for i, chunk in enumerate(chunks):
+        for i, chunk in enumerate(chunks.to_pylist()):
             spans = [(chunk, None)]
             if special and (hits := list(special.finditer(chunk))):
                 edges = [0, *(x for m in hits for x in m.span()), len(chunk)]

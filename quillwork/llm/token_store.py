@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,23 +130,25 @@ def library_encoder(path: str, together: int = 2000):
     tokenizer.no_padding()
     size = bpe.decoder(path).length
 
-    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def ids_of(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def encode(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         start, length, flat, total = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), [], 0
-        joined = [i for i, c in enumerate(chunks) if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace()]
+        whole = pc.match_substring_regex(chunks, f"(?s)^ [^{bpe.WHITE}](?:.*[^{bpe.WHITE}])?$").to_numpy(zero_copy_only=False)
+        joined = np.flatnonzero(whole)
+        own = chunks.take(pa.array(joined))
+        ends = np.cumsum(pc.binary_length(own).to_numpy(zero_copy_only=False).astype(np.int64))
         for at in range(0, len(joined), together):
-            part = joined[at : at + together]
-            own = [chunks[i] for i in part]
-            got = np.array(tokenizer.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(np.fromiter((len(c.encode()) for c in own), np.int64, len(own)))
-            cut = np.searchsorted(np.cumsum(size[got]), ends) + 1
+            part, upto = joined[at : at + together], ends[at : at + together] - (ends[at - 1] if at else 0)
+            got = ids_of("".join(own.slice(at, together).to_pylist()))
+            cut = np.searchsorted(np.cumsum(size[got]), upto) + 1
             length[part] = np.diff(cut, prepend=0)
             start[part] = total + cut - length[part]
             flat.append(got)
             total += len(got)
-        mark = np.ones(len(chunks), bool)
-        mark[joined] = False
-        for i in np.flatnonzero(mark).tolist():
-            got = np.array(tokenizer.encode_batch_fast([chunks[i]], add_special_tokens=False)[0].ids, np.uint32)
+        for i in np.flatnonzero(~whole).tolist():
+            got = ids_of(chunks[i].as_py())
             start[i], length[i] = total, len(got)
             flat.append(got)
             total += len(got)
@@ -171,7 +174,7 @@ def write(df: DataFrame, path: str, folder: str, end_id: int = 0, segment: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get(), []
         part, attempt = task.partitionId(), task.taskAttemptId()
-        held, keys, lengths = [], [], []
+        held, keys, lengths, size = [], [], [], 0
 
         def flush() -> None:
             ids = np.concatenate(held)
@@ -185,9 +188,11 @@ def write(df: DataFrame, path: str, folder: str, end_id: int = 0, segment: int =
             ids, begin = encoder(path)(b.column("text"))
             for i, k in enumerate(b.column("key").to_pylist()):
                 own = np.append(ids[begin[i] : begin[i + 1]], np.uint32(end_id))
-                if held and sum(lengths) + len(own) > segment:
+                if held and size + len(own) > segment:
                     flush()
+                    size = 0
                 held.append(own), keys.append(k), lengths.append(len(own))
+                size += len(own)
         if held:
             flush()
         names = ["part", "segment", "file", "n_rows", "n_ids"]
@@ -196,8 +201,11 @@ def write(df: DataFrame, path: str, folder: str, end_id: int = 0, segment: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), kinds)], names)
 
     found = common.stored(rows.mapInArrow(run, "part int, segment int, file string, n_rows long, n_ids long"), "token-manifest")
-    order = Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0).cast("long")))
+    # Starts: a running total of the parts, one row for each task that wrote, and one within each part.
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = found.groupBy("part").agg(F.sum("n_ids").alias("all")).select("part", F.coalesce(F.sum("all").over(ahead(Window.orderBy("part"))), F.lit(0).cast("long")).alias("before"))
+    within = F.coalesce(F.sum("n_ids").over(ahead(Window.partitionBy("part").orderBy("segment"))), F.lit(0).cast("long"))
+    return found.join(parts, "part").select(*found.columns, (F.col("before") + within).alias("base"))
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:

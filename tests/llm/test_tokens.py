@@ -36,7 +36,7 @@ def test_ids_equal_the_librarys(library, make):
 
 
 def test_forgetting_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 300)
     chunks = bpe.Chunks(bpe.own_encoder(PATH))
     for t in strange(40):
         assert chunks(pa.array([t]))[0].tolist() == library.encode(t, add_special_tokens=False).ids
