@@ -50,9 +50,19 @@ def embedded_option(c: Column) -> Column:
 
 
 def strip_once(haystack: Column, needle: Column) -> Column:
-    """``haystack`` without the first ``needle``."""
-    at = F.instr(haystack, needle)
-    return F.when(at > 0, F.concat(F.substr(haystack, F.lit(1), at - 1), F.substr(haystack, at + F.length(needle)))).otherwise(haystack)
+    """Both in normal form, and the first ``needle`` taken out; no needle leaves the normal form."""
+
+    def cut(h: Column, n: Column) -> Column:
+        at = F.instr(h, n)
+        return F.when((F.length(n) > 0) & (at > 0), F.trim(F.concat(F.substr(h, F.lit(1), at - 1), F.lit(" "), F.substr(h, at + F.length(n))))).otherwise(h)
+
+    return cut(normalised(haystack), normalised(needle))
+
+
+def contains_phrase(c: Column, phrase: Column) -> Column:
+    """Whether the whole phrase is there, any case, with no letter A to Z beside it; both are columns."""
+    pattern = F.concat(F.lit("(?iu)(?<![A-Za-z])\\Q"), phrase, F.lit("\\E(?![A-Za-z])"))
+    return F.regexp_like(c, pattern)
 
 
 def occurrences(haystack: Column, needle: Column) -> Column:
@@ -61,7 +71,7 @@ def occurrences(haystack: Column, needle: Column) -> Column:
 
 def residue(body: Column, endorsement: Column, marker: Column) -> Column:
     """The words left when the endorsement and the marker are each taken out once."""
-    return words(F.lower(strip_once(strip_once(F.lower(body), F.lower(endorsement)), F.lower(marker))))
+    return words(strip_once(strip_once(body, endorsement), marker))
 
 
 def content_words(c: Column, least: int = 4, stop: tuple[str, ...] = ()) -> Column:
@@ -69,10 +79,26 @@ def content_words(c: Column, least: int = 4, stop: tuple[str, ...] = ()) -> Colu
     return F.array_except(out, F.array(*map(F.lit, stop))) if stop else F.array_distinct(out)
 
 
-def containment(body: Column, scenario: Column, least: int = 4) -> Column:
-    """Share of the body's content words that the scenario has; 1 if it has none."""
-    b = content_words(body, least)
-    return F.when(F.size(b) == 0, 1.0).otherwise(F.size(F.array_intersect(b, content_words(scenario, least))) / F.size(b))
+def containment(body: Column, scenario: Column, least: int = 4, ignore: tuple[str, ...] = ()) -> Column:
+    """Share of the body's content words, as often as they occur, that the scenario has; 1 if it has none."""
+    skip = F.array(*map(F.lit, ignore)) if ignore else F.array().cast("array<string>")
+    own = F.filter(words(F.lower(body)), lambda w: (F.length(w) >= least) & ~F.array_contains(skip, w))
+
+    def share(b: Column) -> Column:
+        known = F.array_intersect(b, words(F.lower(scenario)))
+        return F.when(F.size(b) == 0, 1.0).otherwise(F.size(F.filter(b, lambda w: F.array_contains(known, w))) / F.size(b))
+
+    return _bound(own, share)
+
+
+def less_words(tokens: Column, taken: Column) -> Column:
+    """``tokens`` without one occurrence of each of ``taken``, in any order."""
+
+    def without(left: Column, w: Column) -> Column:
+        at = F.array_position(left, w).cast("int")
+        return F.when(at > 0, F.concat(F.slice(left, F.lit(1), at - 1), F.slice(left, at + 1, F.greatest(F.size(left), F.lit(1))))).otherwise(left)
+
+    return F.aggregate(F.coalesce(taken, F.array().cast("array<string>")), tokens, without)
 
 
 def jaccard(a: Column, b: Column, digits: int = 3) -> Column:
@@ -94,14 +120,19 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def shared_runs(texts: DataFrame, protected: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """Maximal runs of words of each text whose n-grams all occur in a protected text: ``key, start, run_words``.
+    """Maximal runs of words of each text that shared n-grams cover: ``key, start, run_words, run`` (the words).
 
-    Gaps and islands over the positions of shared n-grams; a run of m of them covers m + n - 1 words."""
+    Gaps and islands over the positions of shared n-grams: those no more than n apart cover one run.  An n-gram adds as
+    many words to its run as it is ahead of the one before."""
     grams = texts.select(key, F.posexplode(ngrams(words(F.lower(text)), n)).alias("pos", "gram"))
     index = protected.select(F.explode(F.array_distinct(ngrams(words(F.lower("text")), n))).alias("gram")).distinct()
-    hits = grams.join(index, "gram", "left_semi")
-    island = F.col("pos") - F.row_number().over(Window.partitionBy(key).orderBy("pos"))
-    return hits.withColumn("island", island).groupBy(key, "island").agg(F.min("pos").alias("start"), (F.count(F.lit(1)) + n - 1).alias("run_words")).drop("island")
+    order = Window.partitionBy(key).orderBy("pos")
+    hits = grams.join(index, "gram", "left_semi").withColumn("gap", F.col("pos") - F.lag("pos").over(order))
+    hits = hits.withColumn("adds", F.when(F.coalesce(F.col("gap") > n, F.lit(True)), n).otherwise(F.col("gap")))
+    hits = hits.withColumn("island", F.sum(F.coalesce(F.col("gap") > n, F.lit(True)).cast("int")).over(order))
+    piece = F.array_join(F.slice(F.split("gram", " "), n + 1 - F.col("adds"), F.col("adds")), " ")
+    pieces = F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece"))))
+    return hits.groupBy(key, "island").agg(F.min("pos").alias("start"), F.sum("adds").alias("run_words"), F.array_join(F.transform(pieces, lambda x: x["piece"]), " ").alias("run")).drop("island")
 
 
 def ngram_overlap(texts: DataFrame, protected: DataFrame, key: str, protected_key: str, n: int) -> DataFrame:

@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.functions.text import ngrams
+from quillwork.functions import text as T
 from quillwork.operators.checks import findings, union
 
 POSITIONS = ((1, "opt_1"), (1, "opt_2"), (2, "opt_1"), (2, "opt_2"))
@@ -104,11 +104,11 @@ def problems(rows: DataFrame, decisions: int = 60) -> DataFrame:
 
 
 def collisions(scenarios: DataFrame, markers: DataFrame) -> DataFrame:
-    """``scenario_id, marker`` where the marker's text already occurs in the scenario, by a join on its phrases.
+    """``scenario_id, marker`` where the marker's text already occurs in the scenario with no letter A to Z beside it.
 
-    Phrases are as long as some marker; the markers' distinct word counts are few, the markers may be many."""
-    text = F.trim(F.regexp_replace(F.lower("scenario_text"), r"[^\p{L}\p{N}'’-]+", " "))
-    own = markers.select("marker", F.lower("marker").alias("_phrase")).distinct()
-    lengths = [r["n"] for r in own.select(F.size(F.split("_phrase", " ")).alias("n")).filter("n > 0").distinct().collect()]
-    phrases = F.array_distinct(F.flatten(F.array(*(ngrams(F.split(text, " "), n) for n in sorted(lengths)), F.array().cast("array<string>"))))
-    return scenarios.select("scenario_id", F.explode(phrases).alias("_phrase")).join(own, "_phrase").select("scenario_id", "marker")
+    A join on the marker's first run of letters, which must be a whole run of letters of the scenario, proposes; the
+    whole marker then decides.  Markers without such a start meet every scenario."""
+    run = F.regexp_extract(F.lower("marker"), "^([a-z]+)", 1)
+    own = markers.select("marker").distinct().withColumn("_word", run)
+    runs = F.array_union(F.array(F.lit("")), F.regexp_extract_all(F.lower("scenario_text"), F.lit("([a-z]+)"), F.lit(1)))
+    return scenarios.select("scenario_id", "scenario_text", F.explode(runs).alias("_word")).join(own, "_word").filter(T.contains_phrase(F.col("scenario_text"), F.col("marker"))).select("scenario_id", "marker")

@@ -33,6 +33,7 @@ class Rules:
     ratio_warn: float = 1.10
     ratio_fail: float = 1.15
     coverage: float = 0.75
+    ignored: tuple[str, ...] = ()  # words of the frame, never counted as content
     body_sentences: int = 1
 
 
@@ -48,12 +49,6 @@ def measured(groups: DataFrame) -> DataFrame:
     return out.withColumn("styled", F.col("condition").isin("RS", "NS"))
 
 
-def _contains_phrase(text: Column, phrase: Column) -> Column:
-    """Whole phrase at word borders, any case; both columns."""
-    padded = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}'’-]+", " "), F.lit(" "))
-    return F.contains(padded(text), F.concat(F.lit(" "), F.regexp_replace(F.lower(F.trim(phrase)), r"[^\p{L}\p{N}'’-]+", " "), F.lit(" ")))
-
-
 def scenario_findings(scenarios: DataFrame, rules: Rules) -> DataFrame:
     """Rules of a scenario text alone."""
     s, at = F.col("scenario_text"), F.col("scenario_id")
@@ -85,10 +80,10 @@ def cell_findings(groups: DataFrame, rules: Rules) -> DataFrame:
     """Rules of single cells."""
     c = measured(groups)
     at, body = _group(F.col("condition")), F.col("body")
-    has = _contains_phrase(body, F.col("marker_string"))
+    has = T.contains_phrase(body, F.col("marker_string"))
     parts = [findings(c.filter(F.col("styled") & ~has), "E_MARKER_MISSING_IN_STYLED_CELL", "cell", at, F.col("marker_string"))]
     if rules.markers:
-        hits = F.array_compact(F.array(*(F.when(_contains_phrase(body, F.lit(m)), F.lit(m)) for m in sorted(rules.markers))))
+        hits = F.array_compact(F.array(*(F.when(T.contains_phrase(body, F.lit(m)), F.lit(m)) for m in sorted(rules.markers))))
         parts.append(findings(c.filter(~F.col("styled") & (F.size(hits) > 0)), "E_MARKER_IN_PLAIN_CELL", "cell", at, F.array_join(hits, ",")))
     parts.append(findings(c.filter(F.contains(T.normalised(body), T.normalised(F.col("opening")))), "E_OPENING_REPEATED_IN_BODY", "cell", at))
     for name, pattern, severity in rules.forbidden:
@@ -99,13 +94,13 @@ def cell_findings(groups: DataFrame, rules: Rules) -> DataFrame:
     parts.append(findings(c.filter(body.rlike(T.LIST_MARK) | F.contains(body, F.lit("\n"))), "E_PROHIBITED_FORMATTING", "cell", at))
     for kind, n in T.ambiguity_counts(F.col("full")).items():
         parts.append(findings(c.filter(n > 0), "W_AMBIGUOUS_SEGMENTATION", "cell", at, F.lit(kind), "warning"))
-    premise = T.strip_once(T.strip_once(F.lower("body"), F.lower(F.coalesce("endorsement", F.lit("")))), F.when(F.col("styled"), F.lower("marker_string")).otherwise(""))
-    part = F.round(T.containment(premise, F.col("scenario_text")), 4)
+    premise = T.strip_once(T.strip_once(F.col("body"), F.coalesce("endorsement", F.lit(""))), F.when(F.col("styled"), F.col("marker_string")).otherwise(""))
+    part = F.round(T.containment(premise, F.col("scenario_text"), ignore=rules.ignored), 4)
     parts.append(findings(c.filter(F.col("condition").isin("RS", "RP") & (part < rules.coverage)), "W_PREMISE_NOT_IN_SCENARIO", "cell", at, part, "warning"))
     tail = F.rtrim(body)
     parts.append(findings(c.filter(~F.endswith(tail, F.lit(".")) | F.endswith(tail, F.lit(".."))), "E_BODY_TERMINAL_PUNCTUATION", "cell", at, F.right(tail, F.lit(12))))
     parts.append(findings(c.filter(F.col("endorsement").isNull()), "E_ENDORSEMENT_NOT_SUPPLIED", "group", at))
-    times = T.occurrences(F.lower("body"), F.lower("endorsement"))
+    times = T.occurrences(T.normalised(F.col("body")), T.normalised(F.col("endorsement")))
     parts.append(findings(c.filter(times != 1), "E_ENDORSEMENT_NOT_EXACTLY_ONCE", "cell", at, times))
     left = T.residue(body, F.col("endorsement"), F.when(F.col("styled"), F.col("marker_string")).otherwise(""))
     parts.append(findings(c.filter(F.col("condition").isin("NS", "NP") & (F.size(left) > 0)), "E_NO_PREMISE_CELL_HAS_EXTRA_CONTENT", "cell", at, F.array_join(left, " ")))
@@ -143,7 +138,7 @@ def group_findings(groups: DataFrame, rules: Rules, pairwise: bool = True) -> Da
             parts.append(findings(wide.filter((ratio > rules.ratio_warn) & (ratio <= rules.ratio_fail)), f"W_WORD_RATIO_{label}", "group", at, F.round(ratio, 4), "warning"))
     allowed = F.array(*map(F.lit, rules.permitted)) if rules.permitted else F.array().cast("array<string>")
     for styled, plain in (("RS", "RP"), ("NS", "NP")):
-        a = F.filter(T.words(F.lower(T.strip_once(F.lower(f"body_{styled}"), F.lower("marker_string")))), lambda w: ~F.array_contains(allowed, w))
+        a = F.filter(T.less_words(T.words(F.lower(f"body_{styled}")), T.words(F.lower("marker_string"))), lambda w: ~F.array_contains(allowed, w))
         b = F.filter(T.words(F.lower(f"body_{plain}")), lambda w: ~F.array_contains(allowed, w))
         drift = F.array_sort(a) != F.array_sort(b)
         parts.append(findings(wide.filter(drift), "E_PAIR_CONTENT_DRIFT", "pair", F.concat_ws("/", *keys, F.lit(f"{styled}-{plain}")), F.concat_ws(" | ", F.array_join(F.array_except(a, b), " "), F.array_join(F.array_except(b, a), " "))))

@@ -49,7 +49,7 @@ def scenario_word_band(spark, sf_dir):
     return f.filter("code = 'E_SCENARIO_WORD_COUNT'").select("locator", "detail")
 
 
-@query("SELECT 's' || item_id AS scenario_id, m AS marker FROM benchmark, (VALUES ('the'), ('for'), ('et')) v(m) WHERE contains(' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}''’-]+', ' ', 'g') || ' ', ' ' || m || ' ')")
+@query("SELECT 's' || item_id AS scenario_id, m AS marker FROM benchmark, (VALUES ('the'), ('for'), ('et')) v(m) WHERE regexp_matches(text, '(?i)(^|[^A-Za-z])' || m || '($|[^A-Za-z])')")
 def marker_collisions(spark, sf_dir):
     s = load(spark, sf_dir, "benchmark").select(F.concat(F.lit("s"), "item_id").alias("scenario_id"), F.col("text").alias("scenario_text"))
     return A.collisions(s, spark.createDataFrame([("the",), ("for",), ("et",)], "marker string"))

@@ -53,9 +53,9 @@ def ngram_overlap(spark, sf_dir):
     return T.ngram_overlap(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark"), "doc_id", "item_id", N)
 
 
-@query(f"""WITH g AS (SELECT doc_id, i - 1 AS pos, array_to_string(t[i:i+{N - 1}], ' ') AS gram FROM (SELECT doc_id, t, unnest(range(1, len(t) - {N - 2})) AS i FROM (SELECT doc_id, {TOKENS_SQL} AS t FROM documents))),
+@query(f"""WITH g AS (SELECT doc_id, t, i - 1 AS pos, array_to_string(t[i:i+{N - 1}], ' ') AS gram FROM (SELECT doc_id, t, unnest(range(1, len(t) - {N - 2})) AS i FROM (SELECT doc_id, {TOKENS_SQL} AS t FROM documents))),
 b AS (SELECT DISTINCT array_to_string(t[i:i+{N - 1}], ' ') AS gram FROM (SELECT t, unnest(range(1, len(t) - {N - 2})) AS i FROM (SELECT {TOKENS_SQL} AS t FROM benchmark)))
-SELECT doc_id, min(pos)::INT AS start, count(*) + {N - 1} AS run_words FROM (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM g WHERE gram IN (SELECT gram FROM b)) GROUP BY doc_id, island""")
+SELECT doc_id, min(pos)::INT AS start, (max(pos) - min(pos) + {N})::BIGINT AS run_words, array_to_string(any_value(t)[min(pos) + 1:max(pos) + {N}], ' ') AS run FROM (SELECT *, sum(CASE WHEN gap <= {N} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM (SELECT doc_id, t, pos, pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS gap FROM g WHERE gram IN (SELECT gram FROM b))) GROUP BY doc_id, island""")
 def shared_runs(spark, sf_dir):
     return T.shared_runs(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark"), "doc_id", "text", N)
 
@@ -77,7 +77,7 @@ def _pairs(spark, sf_dir) -> DataFrame:
 _PAIRS_SQL = "SELECT conv_id, turn, text, reply FROM (SELECT *, lead(text) OVER w AS reply, lead(role) OVER w AS reply_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND reply_role = 'assistant'"
 
 
-@query(f"""SELECT conv_id, turn, CASE WHEN len(b) = 0 THEN 1.0 ELSE round(len(list_intersect(b, s))::DOUBLE / len(b), 6) END AS coverage FROM (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(reply), '{WORD_SQL}'), lambda w: len(w) >= 4)) AS b, list_distinct(list_filter({TOKENS_SQL}, lambda w: len(w) >= 4)) AS s FROM ({_PAIRS_SQL}))""")
+@query(f"""SELECT conv_id, turn, CASE WHEN len(b) = 0 THEN 1.0 ELSE round(len(list_filter(b, lambda w: list_contains(s, w)))::DOUBLE / len(b), 6) END AS coverage FROM (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(reply), '{WORD_SQL}'), lambda w: len(w) >= 4) AS b, list_distinct(list_filter({TOKENS_SQL}, lambda w: len(w) >= 4)) AS s FROM ({_PAIRS_SQL}))""")
 def containment_coverage(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(T.containment(F.col("reply"), F.col("text")), 6).alias("coverage"))
 
@@ -132,7 +132,7 @@ def marker_highlight(spark, sf_dir):
     return load(spark, sf_dir, "benchmark").filter("NOT text RLIKE '[^\\\\x00-\\\\x7f]'").select("item_id", T.highlighted(F.col("text"), "the").alias("highlighted"))
 
 
-@query("SELECT item_id, len(list_filter(string_split_regex(regexp_replace(lower(text), 'the', ''), '[^a-z0-9]+'), lambda x: x <> ''))::INT AS residue_words FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+@query("SELECT item_id, len(list_filter(string_split_regex(regexp_replace(lower(text), 'the', ' '), '[^a-z0-9]+'), lambda x: x <> ''))::INT AS residue_words FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
 def residue_words(spark, sf_dir):
     """Words left when a literal is taken out once; items in ASCII, as its SQL has them (``residue_words_whole`` takes all)."""
     b = load(spark, sf_dir, "benchmark").filter("NOT text RLIKE '[^\\\\x00-\\\\x7f]'")
@@ -145,7 +145,7 @@ def marker_highlight_whole(spark, sf_dir):
     return load(spark, sf_dir, "benchmark").select("item_id", T.highlighted(F.col("text"), "the").alias("highlighted"))
 
 
-@query(f"SELECT item_id, len(regexp_extract_all(regexp_replace(lower(text), 'the', ''), '{WORD_SQL}'))::INT AS residue_words FROM benchmark")
+@query(f"SELECT item_id, len(regexp_extract_all(regexp_replace(lower(text), 'the', ' '), '{WORD_SQL}'))::INT AS residue_words FROM benchmark")
 def residue_words_whole(spark, sf_dir):
     """Words left in every item when a literal is taken out once."""
     return load(spark, sf_dir, "benchmark").select("item_id", F.size(T.words(T.strip_once(F.lower("text"), F.lit("the")))).alias("residue_words"))

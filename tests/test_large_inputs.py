@@ -19,5 +19,4 @@ def test_collisions_of_many_markers(spark):
     markers = [*(f"w{i}" for i in range(1500)), "W8", "w7 w8", "well-known", "It's Well-known", "w8 w7", "w7 w8 it's", "absent"]
     rows = spark.createDataFrame(list(enumerate(texts)), "scenario_id int, scenario_text string")
     got = allocation.collisions(rows, spark.createDataFrame([(m,) for m in markers + markers[:5]], "marker string"))
-    padded = [f" {re.sub(r"[^\w'’-]+", " ", t.lower())} " for t in texts]
-    assert sorted(map(tuple, got.collect())) == sorted((i, m) for i, t in enumerate(padded) for m in markers if f" {m.lower()} " in t)
+    assert sorted(map(tuple, got.collect())) == sorted((i, m) for i, t in enumerate(texts) for m in markers if re.search(rf"(?<![A-Za-z]){re.escape(m)}(?![A-Za-z])", t, re.I))
