@@ -1,157 +1,251 @@
-"""Deterministic outputs: canonical lines, CSV and JSON with fixed bytes, staged directories with a manifest."""
+"""Deterministic outputs through Spark's file systems: canonical lines, CSV and JSON with fixed bytes, releases, archives."""
 
 from __future__ import annotations
 
-import csv
+import functools
 import gzip
 import hashlib
-import io
 import json
 import math
 import shutil
 import uuid
 import zipfile
-from pathlib import Path
+from collections.abc import Iterable, Iterator
+from pathlib import Path, PurePosixPath
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.functions.hashing import canonical
+from quillwork.functions.hashing import canonical, canonical_json
 
+MANIFEST, SEAL = "manifest.json", "manifest.sha256"
 
-def _clean(v: Any) -> Any:
-    return None if isinstance(v, float) and math.isnan(v) else v
 
+@functools.singledispatch
+def cell(v: Any) -> str:
+    """The text of a value in a CSV field, before quoting."""
+    return str(v)
 
-def _cell(v: Any) -> str:
-    v = _clean(v)
-    return "" if v is None else repr(v) if isinstance(v, float) else "true" if v is True else "false" if v is False else canonical(v) if isinstance(v, (dict, list)) else str(v)
 
+cell.register(type(None), lambda v: "")
+cell.register(bool, lambda v: str(v).lower())
+cell.register(float, lambda v: "" if math.isnan(v) else repr(v))
+cell.register(dict, canonical)
+cell.register(list, canonical)
 
-def csv_text(rows: list[dict[str, Any]], columns: list[str] | None = None, order: list[str] | None = None) -> str:
-    """Header: the union of keys in first-seen order; floats by ``repr``, nulls empty; rows by ``order`` where given."""
-    names = columns or list(dict.fromkeys(k for r in rows for k in r))
-    if order:
-        rows = sorted(rows, key=lambda r: tuple(str(r[k]) if r.get(k) is not None else "" for k in order if k in r))
-    out = io.StringIO()
-    w = csv.writer(out, lineterminator="\n")
-    w.writerow(names)
-    w.writerows([_cell(r.get(k)) for k in names] for r in rows)
-    return out.getvalue()
 
+def csv_line(values: Iterable[Any]) -> str:
+    """One line without its end; a field is quoted if it holds a comma, a quote or a line end."""
+    fields = [cell(v) for v in values]
+    if fields == [""]:
+        return '""'
+    return ",".join('"' + f.replace('"', '""') + '"' if any(c in f for c in ',"\n\r') else f for f in fields)
+
+
+def csv_text(rows: list[dict[str, Any]]) -> str:
+    """A small table whose rows may lack keys: the header has all keys, the first seen first."""
+    names: dict[str, None] = {}
+    for r in rows:
+        names.update(dict.fromkeys(r))
+    return "".join(csv_line(x) + "\n" for x in (names, *([r.get(n) for n in names] for r in rows)))
+
+
+def _null_for_nan(v: Any) -> Any:
+    if isinstance(v, dict):
+        return {k: _null_for_nan(x) for k, x in v.items()}
+    if isinstance(v, (list, tuple)):
+        return [_null_for_nan(x) for x in v]
+    return None if v != v else v
 
-def json_text(value: Any) -> str:
-    def clean(v: Any) -> Any:
-        return {k: clean(x) for k, x in v.items()} if isinstance(v, dict) else [clean(x) for x in v] if isinstance(v, list) else _clean(v)
 
-    return json.dumps(clean(value), indent=2, sort_keys=True, ensure_ascii=False, allow_nan=False) + "\n"
+def json_text(value: Any) -> str:
+    return json.dumps(_null_for_nan(value), ensure_ascii=False, allow_nan=False, indent=2, sort_keys=True) + "\n"
 
 
 def gzip_bytes(text: str) -> bytes:
     return gzip.compress(text.encode(), mtime=0)
 
 
-def canonical_lines(df: DataFrame) -> DataFrame:
-    """``line``: each row as canonical JSON.  Columns without doubles stay in the JVM; others use Python's float text."""
-    from quillwork.functions.hashing import canonical_json
-
-    if not any(t in ("double", "float") for _, t in df.dtypes):
-        return df.select(canonical_json({c: F.col(c) for c in df.columns}).alias("line"))
+def _lines(df: DataFrame, make) -> DataFrame:
+    """``line``: ``make`` of each row, as a dict, in the order of ``df``."""
     names = df.columns
 
-    def run(batches):
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([canonical({k: _clean(v) for k, v in r.items()}) for r in b.select(names).to_pylist()], pa.string())], ["line"])
+            columns = [c.to_pylist() for c in b.columns]
+            yield pa.RecordBatch.from_arrays([pa.array([make(dict(zip(names, r))) for r in zip(*columns)], pa.string())], ["line"])
 
     return df.mapInArrow(run, "line string")
 
 
+def canonical_lines(df: DataFrame) -> DataFrame:
+    """``line``: each row as canonical JSON.  Columns without doubles stay in the JVM; others use Python's float text."""
+    if any(t in ("double", "float") for _, t in df.dtypes):
+        return _lines(df, lambda r: canonical(_null_for_nan(r)))
+    return df.select(canonical_json({c: F.col(c) for c in df.columns}).alias("line"))
+
+
+def csv_lines(df: DataFrame) -> DataFrame:
+    return _lines(df, lambda r: csv_line(r.values()))
+
+
 def write_lines(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """Canonical lines as text files, globally ordered where asked."""
     rows = df.orderBy(*order) if order else df
     canonical_lines(rows).write.mode("errorifexists").text(path)
 
 
-class OutputDir:
-    """Files collected beside the target, then renamed into place with a manifest; never over another version's output."""
-
-    def __init__(self, target: str, version: str, overwrite: bool = False, protected: tuple[str, ...] = ()) -> None:
-        self.target, self.version = Path(target), version
-        if any(self.target.resolve().is_relative_to(Path(p).resolve()) for p in protected):
-            raise ValueError(f"{target} is protected")
-        if self.target.exists():
-            held = self.target / "manifest.json"
-            if not overwrite or not held.exists() or json.loads(held.read_text())["version"] != version:
-                raise ValueError(f"{target} exists and is not this version's to replace")
-        self.stage = self.target.with_name(f".incomplete.{self.target.name}.{uuid.uuid4().hex}")
-        self.stage.mkdir(parents=True)
-        self.files: dict[str, str] = {}
-
-    def write(self, name: str, data: str | bytes) -> None:
-        if name in self.files:
-            raise ValueError(f"{name} is written twice")
-        raw = data.encode() if isinstance(data, str) else data
-        at = self.stage / name
-        at.parent.mkdir(parents=True, exist_ok=True)
-        at.write_bytes(raw)
-        self.files[name] = hashlib.sha256(raw).hexdigest()
+class Store:
+    """The file system of a URI, as Spark sees it, for whole small files and for joining the part files of a table."""
+
+    def __init__(self, spark: SparkSession, uri: str) -> None:
+        self.jvm = spark._jvm
+        self.fs = self.jvm.org.apache.hadoop.fs.FileSystem.newInstance(self.at(uri).toUri(), spark._jsc.hadoopConfiguration())
+        self.fs.setWriteChecksum(False)
+
+    def at(self, uri: str):
+        return self.jvm.org.apache.hadoop.fs.Path(uri)
+
+    def exists(self, uri: str) -> bool:
+        return self.fs.exists(self.at(uri))
+
+    def move(self, source: str, target: str) -> None:
+        if not self.fs.rename(self.at(source), self.at(target)):
+            raise OSError(f"{source} can't be moved to {target}")
+
+    def delete(self, uri: str) -> None:
+        self.fs.delete(self.at(uri), True)
+
+    def read(self, uri: str) -> bytes:
+        stream = self.fs.open(self.at(uri))
+        try:
+            return bytes(stream.readAllBytes())
+        finally:
+            stream.close()
+
+    def write(self, uri: str, head: bytes, parts: str | None = None) -> str:
+        """``head``, then the part files of the folder ``parts`` in order; the SHA-256 of all of it."""
+        digest = self.jvm.java.security.MessageDigest.getInstance("SHA-256")
+        out = self.jvm.java.security.DigestOutputStream(self.fs.create(self.at(uri), False), digest)
+        try:
+            out.write(bytearray(head))
+            for f in sorted((f.getPath().toString() for f in self.fs.listStatus(self.at(parts))) if parts else ()):
+                if f.rpartition("/")[2].startswith("part-"):
+                    stream = self.fs.open(self.at(f))
+                    try:
+                        self.jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
+                    finally:
+                        stream.close()
+        finally:
+            out.close()
+        return bytes(b & 255 for b in digest.digest()).hex()
+
+
+class Release:
+    """A version's files: collected out of sight, then published together.
+
+    ``publish`` moves an older release of the same version aside, the new one into place, and only then deletes the old;
+    if the second move fails, the first is undone.  Another version's files are never replaced."""
+
+    def __init__(self, spark: SparkSession, target: str, version: str, keep_out: tuple[str, ...] = ()) -> None:
+        self.spark, self.store, self.target, self.version = spark, Store(spark, target), target.rstrip("/"), version
+        whole = lambda uri: self.store.fs.makeQualified(self.store.at(uri.rstrip("/"))).toString() + "/"
+        if any(whole(self.target).startswith(whole(k)) for k in keep_out):
+            raise ValueError(f"{target} is kept out")
+        parent, _, name = self.target.rpartition("/")
+        self.draft = f"{parent}/_draft-{name}-{uuid.uuid4().hex}"
+        self.digests: dict[str, str] = {}
+
+    def add(self, name: str, data: str | bytes, parts: str | None = None) -> None:
+        self.digests[name] = self.store.write(f"{self.draft}/{name}", data.encode() if isinstance(data, str) else data, parts)
 
     def table(self, name: str, df: DataFrame, order: list[str] | None = None) -> None:
-        """A result table (small by construction: one row per statistic) as CSV."""
-        self.write(f"tables/{name}.csv", csv_text([r.asDict(recursive=True) for r in df.toLocalIterator()], df.columns, order))
-
-    def finish(self, expected: set[str] | None = None) -> None:
-        if expected is not None and expected != set(self.files):
-            raise ValueError(f"files differ from what is expected: {sorted(expected ^ set(self.files))}")
-        (self.stage / "manifest.json").write_text(json_text({"version": self.version, "files": self.files}))
-        if self.target.exists():
-            shutil.rmtree(self.target)
-        self.stage.rename(self.target)
-
-
-def verify_directory(spark: SparkSession, folder: str) -> DataFrame:
-    """``file, problem`` of every file that is missing, changed or not in the manifest."""
-    listed = json.loads(Path(folder, "manifest.json").read_text())["files"]
-    want = spark.createDataFrame(sorted(listed.items()), "file string, wanted string")
-    root = Path(folder).resolve().as_uri().removeprefix("file://")
-    seen = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_replace("path", r"^file:/*" + root.lstrip("/") + "/", "").alias("file"), F.sha2("content", 256).alias("found")).filter("file <> 'manifest.json'")
-    both = want.join(seen, "file", "full")
-    problem = F.when(F.col("found").isNull(), "missing").when(F.col("wanted").isNull(), "unlisted").when(F.col("wanted") != F.col("found"), "changed")
-    return both.select("file", problem.alias("problem")).filter("problem IS NOT NULL")
+        """``df`` as one CSV file; its rows go from the executors to the store and never to the driver."""
+        parts = f"{self.draft}/_parts-{uuid.uuid4().hex}"
+        csv_lines(df.orderBy(*order) if order else df).write.text(parts)
+        self.add(f"tables/{name}.csv", csv_line(df.columns) + "\n", parts)
+        self.store.delete(parts)
+
+    def publish(self, expected: set[str] | None = None, replace: bool = False) -> None:
+        odd = expected ^ self.digests.keys() if expected is not None else set()
+        if odd:
+            raise ValueError(f"not as expected: {', '.join(sorted(odd))}")
+        there = self.store.exists(self.target)
+        if there and not (replace and self.store.exists(f"{self.target}/{MANIFEST}") and json.loads(self.store.read(f"{self.target}/{MANIFEST}")).get("version") == self.version):
+            raise ValueError(f"{self.target} is not this release's to replace")
+        seal = self.store.write(f"{self.draft}/{MANIFEST}", json_text({"files": self.digests, "version": self.version}).encode())
+        self.store.write(f"{self.draft}/{SEAL}", f"{seal}\n".encode())
+        if not there:
+            return self.store.move(self.draft, self.target)
+        aside = f"{self.draft}-replaced"
+        self.store.move(self.target, aside)
+        try:
+            self.store.move(self.draft, self.target)
+        except Exception:
+            self.store.move(aside, self.target)
+            raise
+        self.store.delete(aside)
+
+
+def audit(spark: SparkSession, target: str) -> DataFrame:
+    """``file, problem`` of what is missing, changed or unlisted in a release; the manifest is held against its seal."""
+    store = Store(spark, target)
+    manifest = store.read(f"{target}/{MANIFEST}")
+    listed = json.loads(manifest)["files"] | {MANIFEST: store.read(f"{target}/{SEAL}").decode().strip()}
+    base = store.fs.makeQualified(store.at(target)).toUri().getPath()
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(target)
+    found = found.select(F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})").alias("file"), F.sha2("content", 256).alias("is")).filter(F.col("file") != SEAL)
+    both = spark.createDataFrame(list(listed.items()), "file string, should string").join(found, "file", "full")
+    problem = F.when(F.col("is").isNull(), "missing").when(F.col("should").isNull(), "unlisted").when(F.col("is") != F.col("should"), "changed")
+    return both.select("file", problem.alias("problem")).filter(F.col("problem").isNotNull())
 
 
 def provider_digest(data: bytes, algorithm: str) -> str:
+    """The digest that a provider declares; ``git-blob`` is the SHA-1 of the blob with its header, ``none`` is empty."""
+    if algorithm == "none":
+        return ""
     if algorithm == "git-blob":
-        return hashlib.sha1(f"blob {len(data)}\0".encode() + data).hexdigest()
+        algorithm, data = "sha1", b"blob %d\0" % len(data) + data
     if algorithm not in ("md5", "sha1", "sha256"):
-        raise ValueError(f"unknown digest {algorithm}")
+        raise ValueError(f"no digest is named {algorithm}")
     return hashlib.new(algorithm, data).hexdigest()
 
 
 def verify_bytes(data: bytes, size: int | None, algorithm: str, expected: str) -> str:
-    """Raises unless size and digest are those expected; the SHA-256."""
-    if size is not None and len(data) != size:
-        raise ValueError(f"{len(data)} bytes instead of {size}")
-    if provider_digest(data, algorithm) != expected.lower():
-        raise ValueError(f"the {algorithm} digest differs")
+    """The SHA-256 of a download that has the size and digest declared for it."""
+    problems = [f"it has {len(data)} bytes, not {size}"] * (size not in (None, len(data))) + [f"its {algorithm} digest is another"] * (provider_digest(data, algorithm) != (expected or "").lower())
+    if problems:
+        raise ValueError("; ".join(problems))
     return hashlib.sha256(data).hexdigest()
 
 
-def safe_extract(archive: str, target: str, skip: tuple[str, ...] = (".pkl", ".pickle")) -> tuple[list[str], list[str]]:
-    """Names extracted and skipped; a member that would leave the target refuses the whole archive."""
-    done, skipped, root = [], [], Path(target).resolve()
+def archive_members(archive: str, skip: tuple[str, ...] = (".pkl", ".pickle")) -> list[tuple[str, str]]:
+    """Each file of a ZIP archive with ``take``, ``skip`` (by its ending) or ``unsafe``: a link, a name that is absolute,
+    has a drive or a back slash, or climbs out of its folder."""
+    out = []
+    with zipfile.ZipFile(archive) as z:
+        for info in z.infolist():
+            name = PurePosixPath(info.filename)
+            link = info.external_attr >> 28 == 0xA
+            climbs = name.is_absolute() or ".." in name.parts or any(c in info.filename for c in "\\:")
+            if not info.is_dir():
+                out.append((info.filename, "unsafe" if link or climbs else "skip" if info.filename.endswith(skip) else "take"))
+    return out
+
+
+def extract(archive: str, folder: str, skip: tuple[str, ...] = (".pkl", ".pickle")) -> list[str]:
+    """Extracts what is to be taken, if no member is unsafe; the names taken."""
+    members = archive_members(archive, skip)
+    if bad := [n for n, verdict in members if verdict == "unsafe"]:
+        raise ValueError(f"{archive} is refused for {bad[0]}")
+    taken = [n for n, verdict in members if verdict == "take"]
     with zipfile.ZipFile(archive) as z:
-        names = [i for i in z.infolist() if not i.is_dir()]
-        for i in names:
-            if not (root / i.filename).resolve().is_relative_to(root) or i.filename.startswith("/") or (i.external_attr >> 16) & 0o170000 == 0o120000:
-                raise ValueError(f"unsafe member {i.filename}")
-        for i in names:
-            if i.filename.endswith(skip):
-                skipped.append(i.filename)
-            else:
-                z.extract(i, root)
-                done.append(i.filename)
-    return done, skipped
+        for n in taken:
+            to = Path(folder, *PurePosixPath(n).parts)
+            to.parent.mkdir(parents=True, exist_ok=True)
+            with z.open(n) as source, to.open("wb") as out:
+                shutil.copyfileobj(source, out)
+    return taken

@@ -1,6 +1,8 @@
 """Hand-computed expectations of single operators."""
 
+import hashlib
 import json
+import zipfile
 
 import numpy as np
 import pytest
@@ -94,7 +96,13 @@ def test_identical_estimates_differ_by_zero(spark):
 def test_text_functions(spark):
     assert one(spark, T.words(F.lit("It's a well-known x2, no?"))) == ["It's", "a", "well-known", "x2", "no"]
     assert one(spark, T.phrase_count(F.lit("Thus, thus thusly THUS."), "thus")) == 3
-    assert one(spark, T.strip_once(F.lit("abcabc"), F.lit("bc"))) == "aabc"
+    assert one(spark, T.strip_once(F.lit("ab  We  should go. Ab"), F.lit("we should  go."))) == "ab   ab"
+    assert one(spark, T.containment(F.lit("rain rain rain snow"), F.lit("rain"))) == 0.75
+    assert one(spark, T.containment(F.lit("rain frame"), F.lit("rain"), ignore=("frame",))) == 1.0
+    assert one(spark, T.less_words(F.array(*map(F.lit, "abcab")), F.array(*map(F.lit, "bzb")))) == ["a", "c", "a"]
+    assert one(spark, T.contains_phrase(F.lit("Thus-far"), F.lit("thus"))) and not one(spark, T.contains_phrase(F.lit("thusly"), F.lit("thus")))
+    runs = T.shared_runs(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c x c d e")], "k int, text string"), spark.createDataFrame([("a b c",), ("c d e",)], "text string"), "k", "text", 3)
+    assert rows_of(runs) == [(1, 0, 5, "a b c d e"), (2, 0, 3, "a b c"), (2, 4, 3, "c d e")]
     assert one(spark, T.ngrams(F.array(*map(F.lit, "abcd")), 3)) == ["a b c", "b c d"]
     assert one(spark, T.ngrams(F.array(F.lit("a")), 3)) == []
     assert one(spark, T.embedded_option(F.lit("Keep the tax."))) == "keep the tax"
@@ -172,13 +180,45 @@ def test_sinks(spark, tmp_path):
     assert sinks.gzip_bytes("x") == sinks.gzip_bytes("x")
     df = spark.createDataFrame([(1, 1e-05), (2, 123456789.0)], "k int, x double")
     assert [json.loads(r["line"]) for r in sinks.canonical_lines(df).collect()] == [{"k": 1, "x": 1e-05}, {"k": 2, "x": 123456789.0}]
-    out = sinks.OutputDir(str(tmp_path / "out"), "v1")
-    out.table("t", df, ["k"])
-    out.finish({"tables/t.csv"})
+    target = str(tmp_path / "out")
+    out = sinks.Release(spark, target, "v1")
+    out.table("t", df.repartition(4), ["k"])
+    out.publish({"tables/t.csv"})
     assert (tmp_path / "out/tables/t.csv").read_text() == "k,x\n1,1e-05\n2,123456789.0\n"
-    assert sinks.verify_directory(spark, str(tmp_path / "out")).count() == 0
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"] and sinks.audit(spark, target).count() == 0
     (tmp_path / "out/tables/t.csv").write_text("changed")
     (tmp_path / "out/more.txt").write_text("x")
-    assert rows_of(sinks.verify_directory(spark, str(tmp_path / "out"))) == [("more.txt", "unlisted"), ("tables/t.csv", "changed")]
+    assert rows_of(sinks.audit(spark, target)) == [("more.txt", "unlisted"), ("tables/t.csv", "changed")]
+    (tmp_path / "out/manifest.json").write_text((tmp_path / "out/manifest.json").read_text() + " ")
+    assert ("manifest.json", "changed") in rows_of(sinks.audit(spark, target))
+    for version, replace in (("v2", True), ("v1", False)):
+        again = sinks.Release(spark, target, version)
+        again.add("a.txt", "new")
+        with pytest.raises(ValueError):
+            again.publish(replace=replace)
+    again = sinks.Release(spark, target, "v1")
+    again.add("a.txt", "new")
     with pytest.raises(ValueError):
-        sinks.OutputDir(str(tmp_path / "out"), "v2", overwrite=True)
+        again.publish({"b.txt"}, replace=True)
+    again.publish(replace=True)
+    assert rows_of(sinks.audit(spark, target)) == [] and (tmp_path / "out/a.txt").read_text() == "new" and not (tmp_path / "out/tables").exists()
+    with pytest.raises(ValueError):
+        sinks.Release(spark, f"{target}/x", "v1", keep_out=(target,))
+
+
+def test_archives(tmp_path):
+    at = str(tmp_path / "a.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        z.writestr("d/x.txt", "x")
+        z.writestr("y.pkl", "y")
+    assert sinks.extract(at, str(tmp_path / "to")) == ["d/x.txt"] and (tmp_path / "to/d/x.txt").read_text() == "x"
+    for name in ("../x", "/x", "d/../../x", "c:x"):
+        with zipfile.ZipFile(at, "w") as z:
+            z.writestr("fine", "x")
+            z.writestr(name, "x")
+        with pytest.raises(ValueError):
+            sinks.extract(at, str(tmp_path / "bad"))
+    assert not (tmp_path / "bad").exists()
+    assert sinks.verify_bytes(b"x", 1, "none", "") == hashlib.sha256(b"x").hexdigest()
+    with pytest.raises(ValueError):
+        sinks.verify_bytes(b"x", 2, "md5", "9dd4e461268c8034f5c8564e155c67a6")
