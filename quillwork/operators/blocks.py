@@ -50,20 +50,45 @@ def contrast(name: str, outcome: str) -> Column:
     return reduce(lambda a, b: a + b, (F.lit(float(k)) * F.col(f"{prefix}_{c}") for c, k in CONTRASTS[name].items()))
 
 
-def values(blocks: DataFrame, outcomes: tuple[str, ...] = ("movement", "flip"), cells: bool = True) -> DataFrame:
-    """Long form: ``outcome, kind, quantity, value, n_movement_rows, n_flip_rows`` of each block, without null values."""
+def quantities(outcomes: tuple[str, ...] = ("movement", "flip"), cells: bool = True) -> list[tuple[str, str, str, Column, int, Column]]:
+    """``outcome, kind, quantity``, value, movement rows and flip rows of everything that a block yields."""
     made = []
     for outcome in outcomes:
         prefix = "mov" if outcome == "movement" else "flip"
-        for name, coef in CONTRASTS.items():
-            flips = reduce(lambda a, b: a + b, (F.col(f"flips_{c}") for c in coef)) if outcome == "flip" else F.lit(0).cast("long")
-            made.append(F.struct(F.lit(outcome).alias("outcome"), F.lit("contrast").alias("kind"), F.lit(name).alias("quantity"), contrast(name, outcome).alias("value"), F.lit(sum(ROWS_OF[c] for c in coef)).cast("long").alias("n_movement_rows"), flips.alias("n_flip_rows")))
-        for c in CONDITIONS if cells else ():
-            flips = F.col(f"flips_{c}") if outcome == "flip" else F.lit(0).cast("long")
-            made.append(F.struct(F.lit(outcome).alias("outcome"), F.lit("cell").alias("kind"), F.lit(c).alias("quantity"), F.col(f"{prefix}_{c}").alias("value"), F.lit(ROWS_OF[c]).cast("long").alias("n_movement_rows"), flips.alias("n_flip_rows")))
+        named = [("contrast", name, tuple(coef), contrast(name, outcome)) for name, coef in CONTRASTS.items()]
+        named += [("cell", c, (c,), F.col(f"{prefix}_{c}")) for c in CONDITIONS if cells]
+        for kind, name, used, value in named:
+            flips = reduce(lambda a, b: a + b, (F.col(f"flips_{c}") for c in used)) if outcome == "flip" else F.lit(0).cast("long")
+            made.append((outcome, kind, name, value, sum(ROWS_OF[c] for c in used), flips))
+    return made
+
+
+def values(blocks: DataFrame, outcomes: tuple[str, ...] = ("movement", "flip"), cells: bool = True) -> DataFrame:
+    """Long form: ``outcome, kind, quantity, value, n_movement_rows, n_flip_rows`` of each block, without null values."""
+    made = [F.struct(F.lit(o).alias("outcome"), F.lit(k).alias("kind"), F.lit(q).alias("quantity"), v.alias("value"), F.lit(n).cast("long").alias("n_movement_rows"), f.alias("n_flip_rows")) for o, k, q, v, n, f in quantities(outcomes, cells)]
     return blocks.select("*", F.inline(F.array(*made))).filter(F.col("value").isNotNull())
 
 
+def decision_values(blocks: DataFrame, keys: list[str], outcomes: tuple[str, ...] = ("movement", "flip"), cells: bool = True) -> DataFrame:
+    """Per statistic and decision: mean block value, its block count, row counts, and the initials it rests on.
+
+    All quantities of an initial, then of a decision, are summed side by side in one row; only the few rows of decisions
+    are turned into one row a quantity.  ``keys``: columns of the blocks, and of ``outcome, kind, quantity``."""
+    by, made = [k for k in keys if k not in ("outcome", "kind", "quantity")], quantities(outcomes, cells)
+    rows = blocks.select(*dict.fromkeys([*by, "decision_id", "domain", "run", "initial_id"]), *(c.alias(f"{n}{i}") for i, (*_, v, _, f) in enumerate(made) for n, c in (("v", v), ("f", f))))
+    initial = rows.groupBy(*dict.fromkeys([*by, "decision_id", "domain", "run", "initial_id"])).agg(
+        *(c.alias(f"{n}{i}") for i in range(len(made)) for n, c in (("s", F.sum(f"v{i}")), ("n", F.count(f"v{i}")), ("f", F.sum(F.when(F.col(f"v{i}").isNotNull(), F.col(f"f{i}"))))))
+    )
+    decision = initial.groupBy(*dict.fromkeys([*by, "decision_id", "domain"])).agg(
+        *(c.alias(f"{n}{i}") for i in range(len(made)) for n, c in (("s", F.sum(f"s{i}")), ("n", F.sum(f"n{i}")), ("f", F.sum(f"f{i}")), ("i", F.count_if(F.col(f"n{i}") > 0))))
+    )
+    each = [
+        F.struct(F.lit(o).alias("outcome"), F.lit(k).alias("kind"), F.lit(q).alias("quantity"), (F.col(f"s{i}") / F.nullif(F.col(f"n{i}"), F.lit(0))).alias("decision_value"), F.col(f"n{i}").alias("blocks"), (n * F.col(f"n{i}")).cast("long").alias("movement_rows"), F.col(f"f{i}").alias("flip_rows"), F.col(f"i{i}").alias("initials"))
+        for i, (o, k, q, _, n, _) in enumerate(made)
+    ]
+    return decision.select(*dict.fromkeys([*by, "decision_id", "domain"]), F.inline(F.array(*each))).filter("blocks > 0")
+
+
 def marker_values(blocks: DataFrame, outcome: str = "movement") -> DataFrame:
     """Per block and marker the four marker contrasts against the block's own shared controls."""
     field = "movement" if outcome == "movement" else "flip"

@@ -15,16 +15,8 @@ from pyspark.sql import functions as F
 DIGITS = 6
 
 
-def decision_values(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Per statistic and decision: mean block value, its block count, row counts, and the initials it rests on."""
-    return values.groupBy(*keys, "decision_id", "domain").agg(
-        F.avg("value").alias("decision_value"), F.count(F.lit(1)).alias("blocks"), F.sum("n_movement_rows").alias("movement_rows"), F.sum("n_flip_rows").alias("flip_rows"), F.countDistinct("run", "initial_id").alias("initials")
-    )
-
-
-def decision_means(values: DataFrame, keys: list[str], digits: int = DIGITS) -> DataFrame:
-    """Point estimates with denominators.  An initial belongs to one decision, so its counts add up."""
-    per = decision_values(values, keys)
+def decision_means(per: DataFrame, keys: list[str], digits: int = DIGITS) -> DataFrame:
+    """Point estimates with denominators from values per decision.  An initial belongs to one decision, so its counts add up."""
     return per.groupBy(*keys).agg(
         F.round(F.avg("decision_value"), digits).alias("estimate"),
         F.sum("blocks").alias("n_blocks"),

@@ -90,19 +90,23 @@ def block_cells(spark, sf_dir):
     return blocks(spark, sf_dir).select(*CELL_COLUMNS)
 
 
+def _means(b: DataFrame, keys: list[str], outcomes: tuple[str, ...] = ("movement", "flip"), cells: bool = True) -> DataFrame:
+    return E.decision_means(B.decision_values(b, keys, outcomes, cells), keys)
+
+
 @query(f"{values_sql()} {means_sql('run, outcome, kind, quantity')}")
 def contrast_by_model(spark, sf_dir):
-    return E.decision_means(B.values(blocks(spark, sf_dir)), ["run", "outcome", "kind", "quantity"])
+    return _means(blocks(spark, sf_dir), ["run", "outcome", "kind", "quantity"])
 
 
 @query(f"{values_sql(outcomes=('movement',))} {means_sql('run, domain, kind, quantity')}")
 def contrast_by_domain(spark, sf_dir):
-    return E.decision_means(B.values(blocks(spark, sf_dir), ("movement",)), ["run", "domain", "kind", "quantity"])
+    return _means(blocks(spark, sf_dir), ["run", "domain", "kind", "quantity"], ("movement",))
 
 
 @query(f"{values_sql(cells=False)} {means_sql('run, order_id, outcome, quantity')}")
 def contrast_by_order(spark, sf_dir):
-    return E.decision_means(B.values(blocks(spark, sf_dir), cells=False), ["run", "order_id", "outcome", "quantity"])
+    return _means(blocks(spark, sf_dir), ["run", "order_id", "outcome", "quantity"], cells=False)
 
 
 def _heterogeneity(spark, sf_dir, level: str) -> DataFrame:
@@ -222,7 +226,7 @@ def wls_moderation(spark, sf_dir):
 
 @query(f"{values_sql(cells=False)} {means_sql('run, outcome, quantity', 'abs(m_before) >= ln(0.6::DOUBLE/0.4::DOUBLE)')}")
 def near_tie_sensitivity(spark, sf_dir):
-    return E.decision_means(B.values(blocks(spark, sf_dir).filter(F.abs("m_before") >= S.TAU), cells=False), ["run", "outcome", "quantity"])
+    return _means(blocks(spark, sf_dir).filter(F.abs("m_before") >= S.TAU), ["run", "outcome", "quantity"], cells=False)
 
 
 _DRAWS_SQL = f"""p AS (SELECT c_custkey AS decision_id, r_name AS domain, row_number() OVER (PARTITION BY r_name ORDER BY c_custkey) - 1 AS place, count(*) OVER (PARTITION BY r_name) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
@@ -237,7 +241,7 @@ def bootstrap_counts(spark, sf_dir):
 
 
 def _boot(spark, sf_dir, replicates: int = REPLICATES, outcomes: tuple[str, ...] = ("movement",), keys: tuple[str, ...] = ("run", "quantity")) -> DataFrame:
-    per = E.decision_values(B.values(blocks(spark, sf_dir), outcomes, cells=False), [*keys])
+    per = B.decision_values(blocks(spark, sf_dir), [*keys], outcomes, cells=False)
     return E.summarise(E.replicate_estimates(per, E.hash_draws(decisions(spark, sf_dir), replicates, SEED), [*keys]), [*keys])
 
 
@@ -344,10 +348,10 @@ def rescoring_planted(spark, sf_dir):
 def _kernel(spark, sf_dir) -> DataFrame:
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("nk"), F.col("n_regionkey").cast("string").alias("region"))
     who = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("decision_id"), F.col("c_nationkey").alias("nk")).join(F.broadcast(nation), "nk")
-    v = B.values(blocks(spark, sf_dir), cells=False).join(who, "decision_id")
+    v = blocks(spark, sf_dir).join(who, "decision_id")
     v = v.withColumn("decision_id", F.lpad(F.col("nk").cast("string"), 2, "0")).withColumn("domain", F.col("region"))
     keys = ["run", "outcome", "quantity"]
-    return E.kernel_summaries(E.decision_values(v, keys), keys, PLANNED_REPLICATES, SEED)
+    return E.kernel_summaries(B.decision_values(v, keys, cells=False), keys, PLANNED_REPLICATES, SEED)
 
 
 @query(None)
