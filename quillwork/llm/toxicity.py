@@ -73,7 +73,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, least_docs: int = LEAST_DOCS,
         i = np.searchsorted(known, r)
         ok = i < len(known)
         ok[ok] = known[i[ok]] == r[ok]
-        at.append(np.append(i[ok], len(known)))  # the last coordinate is the bias
+        at.append(np.append(i[ok], len(known)).astype(np.int32))  # the last coordinate is the bias
     z, n = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     l1 = np.full(len(z), L1)
     l1[-1] = 0.0
@@ -92,7 +92,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, least_docs: int = LEAST_DOCS,
             n[i] = grown
     w = weights(np.arange(len(z)))
     held = np.flatnonzero(w[:-1])
-    return Model(known[held], w[:-1][held], float(w[-1]))
+    return Model(known[held].astype(np.int64), w[:-1][held], float(w[-1]))
 
 
 def held_out(key: Column) -> Column:
@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: s
     got = rows.mapInArrow(run, "key string, label int, features array<int>").toArrow().combine_chunks()
     got = got.sort_by([("key", "ascending"), ("label", "ascending")])
     flat = [np.asarray(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else np.zeros(0, np.int32) for x in got.column("features")]
-    return fit([x.astype(np.int64) for x in flat], got.column("label").to_numpy().astype(float))
+    return fit(flat, got.column("label").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
