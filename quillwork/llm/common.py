@@ -40,10 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one where none is set."""
+    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one where none is set and all is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = held or "file://" + tempfile.mkdtemp(prefix="quillwork-")
         if not held:
             spark.sparkContext.setCheckpointDir(found)
