@@ -65,6 +65,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, wanted: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in ``wanted``, stored in buckets of ``key``, as many as shuffles have
+    partitions: ``df`` moves once, and later joins on ``key`` move their other side alone."""
+    spark = df.sparkSession
+    table = f"quillwork_{uuid.uuid4().hex}"
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    kept = df.repartition(buckets, key).join(wanted, key, "left_semi")
+    kept.write.format("parquet").bucketBy(buckets, key).option("path", scratch(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
 

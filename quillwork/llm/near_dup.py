@@ -21,7 +21,8 @@ So every two nodes that share a band end in one component or are shown to be unl
 follow the number of nodes as long as unlike texts differ from a pivot in different ways.
 
 With 25 bands of 5 a pair at similarity 0.8 shares no band, and is missed if nothing else links it, with probability 5e-5.
-Leaders and pivots are joined back by key and texts by row: plain joins, whose hot keys adaptive execution splits.
+Leaders and pivots are joined back by key, their texts by row: plain joins, whose hot keys adaptive execution splits.
+All texts move once, into buckets by row; after that only pairs move to them.
 
 Defined cases: null text is empty text; a text of one to four words has one shingle, all its words; texts without words
 are copies only if they are the same text; repeated rows are copies of each other; rows with a null key take part; an
@@ -155,10 +156,19 @@ def weighted_jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
     return low / np.maximum(total, 1e-300)
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame, hot: str, other: str) -> DataFrame:
+    """``pairs`` with ``ta``, the text of ``hot``, and ``tb``, that of ``other``.
+
+    The texts lie in buckets by row and stay where they are; pairs move to the text of ``other``, of which none has many
+    pairs, and meet there.  Of ``hot`` the distinct texts move, in a shuffled join whose hot keys can be split."""
+    wanted = texts.join(pairs.select(F.col(hot).alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias(hot), F.col("text").alias("ta"))
+    right = pairs.join(texts.select(F.col("row").alias(other), F.col("text").alias("tb")), other)
+    return right.join(wanted, hot).select(hot, other, "ta", "tb")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts (``row, text``) are as similar, with ``similarity``."""
-    left = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    both = _with_texts(pairs, texts, "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.blocks(batches, "ta", SKETCH_BYTES):
@@ -187,8 +197,7 @@ def _reach(linked: np.ndarray, n: np.ndarray, pivot: np.ndarray, d: np.ndarray,
 def differences(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """``p, node, similarity, linked, n, d, new, map, posts`` of pairs (p, node): sizes of the text and of its difference
     from the pivot, of which ``new`` is what the pivot lacks; the two bitmaps; posted elements with their places."""
-    left = pairs.join(texts.select(F.col("row").alias("p"), F.col("text").alias("ta")), "p")
-    both = left.join(texts.select(F.col("row").alias("node"), F.col("text").alias("tb")), "node").select("p", "node", "ta", "tb")
+    both = _with_texts(pairs, texts, "p", "node")
     kinds = pa.struct([("g", pa.int64()), ("pos", pa.int32()), ("short", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +280,7 @@ def links_of(sketches: DataFrame, docs: DataFrame, similarity: float = SIMILARIT
     shared = common.stored(banded.join(lead, F.col("bucket") == F.col("k")).select("bucket", "node", "n", "lead"), "buckets")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     wanted = shared.select(F.col("node").alias("row")).distinct()
-    texts = common.stored(rows.join(wanted, "row", "left_semi"), "texts")
+    texts = common.stored_by(rows, wanted, "row", "texts")
     stars = shared.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
     stars = stars.filter((F.col("a") != F.col("b")) & _alike(similarity)).select("a", "b").distinct()
     first = common.stored(verified(stars, texts, similarity), "links")
@@ -284,7 +293,7 @@ def links_of(sketches: DataFrame, docs: DataFrame, similarity: float = SIMILARIT
     second = near.filter("linked").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"), "similarity")
     posts = _rooted(near.drop("map", "similarity"), root).select("p", "node", "root", "linked", "n", "d", "new", F.inline("posts"))
     live = common.stored(_live(posts), "posts")
-    leads = live.filter("root <> lead.root").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
+    leads = live.filter("root <> lead.root").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
     third = common.stored(verified(leads.filter(_alike(similarity)).select("a", "b").distinct(), texts, similarity), "links")
     links = first.unionByName(second).unionByName(third)
     root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(third.select("a", "b")))
