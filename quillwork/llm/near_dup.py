@@ -12,10 +12,11 @@ coordinates are bucket keys.
     compared with p, once for each pivot, and the signed difference D(x) = x - p of the shingle counts is kept.
     |x - y| = |D(x)| + |D(y)| - 2 common(D(x), D(y)), so if x and y are alike and not both alike to p, their differences
     have at least (|D(x)| + |D(y)| - c (|x| + |y|)) / 2 > 0 elements in common, with c = (1 - s) / (1 + s) at similarity s.
-    Each node posts a prefix of its differences, what is new before what is lost, that must hold one of these.
+    Each node posts a prefix of its differences, those of the fewest nodes first, that must hold one of these; what no
+    other node has too counts in the prefix but is not posted.
 4.  In each group of equal posts all are paired with the least node first, and components are joined.  Pairs that are
-    across components even then are compared if sizes, places in the prefixes and bitmaps of the differences allow the
-    elements that they must have in common.
+    across components even then are compared if sizes, places in the prefixes (by which they are joined) and bitmaps of the
+    differences allow the elements that they must have in common.
 
 So every two nodes that share a band end in one component or are shown to be unlike, in buckets of every size, and pairs
 follow the number of nodes as long as unlike texts differ from a pivot in different ways.
@@ -160,7 +161,9 @@ def _with_texts(pairs: DataFrame, texts: DataFrame, hot: str, other: str) -> Dat
     """``pairs`` with ``ta``, the text of ``hot``, and ``tb``, that of ``other``.
 
     The texts lie in buckets by row and stay where they are; pairs move to the text of ``other``, of which none has many
-    pairs, and meet there.  Of ``hot`` the distinct texts move, in a shuffled join whose hot keys can be split."""
+    pairs, and meet there.  Of ``hot`` the distinct texts move, in a shuffled join whose hot keys can be split.  The pairs
+    are used twice, so they are stored."""
+    pairs = common.stored(pairs, "pairs")
     wanted = texts.join(pairs.select(F.col(hot).alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias(hot), F.col("text").alias("ta"))
     right = pairs.join(texts.select(F.col("row").alias(other), F.col("text").alias("tb")), other)
     return right.join(wanted, hot).select(hot, other, "ta", "tb")
@@ -195,10 +198,10 @@ def _reach(linked: np.ndarray, n: np.ndarray, pivot: np.ndarray, d: np.ndarray,
 
 
 def differences(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``p, node, similarity, linked, n, d, new, map, posts`` of pairs (p, node): sizes of the text and of its difference
-    from the pivot, of which ``new`` is what the pivot lacks; the two bitmaps; posted elements with their places."""
+    """``p, node, similarity, linked, n, d, new, map, ahead, behind, parts`` of pairs (p, node): sizes of the text and of its
+    difference from the pivot, of which ``new`` is what the pivot lacks; the two bitmaps; lengths of the prefixes to be
+    posted; the elements of the difference."""
     both = _with_texts(pairs, texts, "p", "node")
-    kinds = pa.struct([("g", pa.int64()), ("pos", pa.int32()), ("short", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.blocks(batches, "tb", SKETCH_BYTES):
@@ -213,8 +216,6 @@ def differences(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFr
             weight = np.add.reduceat(weight, at) if len(at) else weight
             owner, value = owner[at], value[at]
             owner, value, weight = (x[weight != 0] for x in (owner, value, weight))
-            order = np.lexsort((value, weight < 0, owner))
-            owner, value, weight = owner[order], value[order], weight[order]
             times = np.abs(weight)
             lost = np.repeat(weight < 0, times)
             which = common.ragged(np.zeros(len(times), np.int64), times)
@@ -229,15 +230,25 @@ def differences(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFr
             place = (g >> np.uint64(40)).astype(np.int64) % (64 * MAP_WORDS)
             np.bitwise_or.at(bits, (owner, lost * MAP_WORDS + (place >> 6)), _ONE << (place & 63).astype(np.uint64))
             ahead, behind = _reach(linked, n, pivot, d, similarity)
-            pos = common.ragged(np.zeros(k, np.int64), d)
-            use = pos < np.maximum(ahead, behind)[owner]
-            posts = pa.StructArray.from_arrays([pa.array(g[use].astype(np.int64)), pa.array(pos[use].astype(np.int32)), pa.array((pos < ahead[owner])[use])], fields=list(kinds))
-            cut = np.concatenate([[0], np.cumsum(np.bincount(owner[use], minlength=k))]).astype(np.int32)
+            parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(d)]).astype(np.int32)), pa.array(g.astype(np.int64)))
             maps = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * 2 * MAP_WORDS), pa.array(bits.astype(np.int64).ravel()))
-            columns = [b.column("p"), b.column("node"), pa.array(alike), pa.array(linked), pa.array(n), pa.array(d), pa.array(new), maps, pa.ListArray.from_arrays(pa.array(cut), posts)]
-            yield pa.RecordBatch.from_arrays(columns, ["p", "node", "similarity", "linked", "n", "d", "new", "map", "posts"])
+            columns = [b.column("p"), b.column("node"), pa.array(alike), pa.array(linked), pa.array(n), pa.array(d), pa.array(new), maps, pa.array(ahead), pa.array(behind), parts]
+            yield pa.RecordBatch.from_arrays(columns, ["p", "node", "similarity", "linked", "n", "d", "new", "map", "ahead", "behind", "parts"])
+
+    return both.mapInArrow(run, "p long, node long, similarity double, linked boolean, n long, d long, new long, map array<long>, ahead long, behind long, parts array<long>")
+
 
-    return both.mapInArrow(run, "p long, node long, similarity double, linked boolean, n long, d long, new long, map array<long>, posts array<struct<g: long, pos: int, short: boolean>>")
+def posted(near: DataFrame) -> DataFrame:
+    """``p, node, linked, n, d, new, g, pos, short``: the prefixes of ``differences``, by the number of nodes that differ from
+    the pivot in the same way.  Any one order of a pivot's elements loses nothing; in this one what all nodes have in
+    common (where the pivot is the odd one) comes last."""
+    each = near.select("p", "node", F.explode("parts").alias("g"))
+    often = each.groupBy(F.col("g").alias("k")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    shared = each.join(often, F.col("g") == F.col("k")).groupBy("p", "node").agg(F.array_sort(F.collect_list(F.struct("times", "g"))).alias("parts"))
+    sizes = near.select("p", "node", "linked", "n", "d", "new", "ahead", "behind")
+    rows = sizes.join(shared, ["p", "node"]).select("*", (F.col("d") - F.size("parts")).alias("alone"), F.posexplode("parts").alias("i", "part"))
+    rows = rows.withColumn("pos", (F.col("alone") + F.col("i")).cast("int")).filter(F.col("pos") < F.greatest("ahead", "behind"))
+    return rows.select("p", "node", "linked", "n", "d", "new", F.col("part.g").alias("g"), "pos", (F.col("pos") < F.col("ahead")).alias("short"))
 
 
 def _rooted(df: DataFrame, root: DataFrame) -> DataFrame:
@@ -245,29 +256,47 @@ def _rooted(df: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def _live(posts: DataFrame) -> DataFrame:
-    """Posts of groups that can hold a link across components, with the group's least node that posts ahead."""
+    """Posts of groups that can hold a link across components, with the group's least node that posts ahead and its largest size."""
     ahead = F.min(F.when(F.col("short"), F.struct("node", "n", "root")))
-    live = posts.groupBy(F.col("g").alias("k")).agg(ahead.alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_and("linked").alias("near"))
-    return posts.join(live.filter("lead IS NOT NULL AND lo <> hi AND NOT near").select("k", "lead"), F.col("g") == F.col("k")).drop("k")
+    live = posts.groupBy(F.col("g").alias("k")).agg(ahead.alias("lead"), F.max("n").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_and("linked").alias("near"))
+    return posts.join(live.filter("lead IS NOT NULL AND lo <> hi AND NOT near").select("k", "lead", "most"), F.col("g") == F.col("k")).drop("k")
 
 
 def _left_over(live: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of posts (with bitmaps) across components that can have as many differences in common as they must."""
-    names = ["node", "root", "linked", "n", "d", "new", "pos", "short", "map"]
-    x, y = (live.select("g", *(F.col(c).alias(f"{side}_{c}") for c in names)) for side in "xy")
+    """Pairs ``p, a, b`` of posts across components that can have as many differences in common as they must, by their places.
+
+    The first that x and y have in common has at least as many of either's differences from it on as they must have in
+    common.  That is, the intervals of x and y from (d - c n) / 2 to (d + c n) / 2 - pos overlap (one of them may be
+    turned round), so they meet in the cell where the later one begins; cells are a part of the largest c n wide."""
     c = (1 - similarity) / (1 + similarity)
+    one, other = (F.col("d") - c * F.col("n")) / 2 - 1e-6, (F.col("d") + c * F.col("n")) / 2 - F.col("pos") + 1e-6
+    width = F.greatest(F.lit(1.0), c * F.col("most") / 4)
+    cell = lambda x: F.floor(x / width).cast("int")
+    names = ["node", "root", "linked", "n", "d", "pos", "short", "from"]
+    own = live.withColumn("from", cell(F.least(one, other))).select("p", "g", *names, F.explode(F.sequence("from", cell(F.greatest(one, other)))).alias("cell"))
+    x, y = (own.select("g", "cell", *(["p"] if side == "x" else []), *(F.col(n).alias(f"{side}_{n}") for n in names)) for side in "xy")
     need = F.greatest(F.lit(1.0), F.ceil((F.col("x_d") + F.col("y_d") - c * (F.col("x_n") + F.col("y_n"))) / 2 - 1e-6))
+    fits = F.col("x_short") & (F.col("x_root") != F.col("y_root")) & ~(F.col("x_linked") & F.col("y_linked")) & (F.col("cell") == F.greatest("x_from", "y_from"))
+    fits = fits & (F.struct("x_d", "x_node") < F.struct("y_d", "y_node")) & (F.least("x_n", "y_n") >= F.greatest("x_n", "y_n") * F.lit(similarity) - 1e-9)
+    fits = fits & (need <= F.least(F.col("x_d") - F.col("x_pos"), F.col("y_d") - F.col("y_pos")))
+    return x.join(y, ["g", "cell"]).filter(fits).select("p", F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
+def _possible(pairs: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (p, a, b) that sizes and bitmaps of the differences allow as many in common as they must have."""
+    c = (1 - similarity) / (1 + similarity)
+    for node in "ab":
+        pairs = pairs.join(near.select("p", F.col("node").alias(node), *(F.col(x).alias(f"{node}_{x}") for x in ("n", "d", "new", "map"))), ["p", node])
+    need = F.greatest(F.lit(1.0), F.ceil((F.col("a_d") + F.col("b_d") - c * (F.col("a_n") + F.col("b_n"))) / 2 - 1e-6))
 
     def only(side: str, other: str, first: int):
         maps = [F.bit_count(F.col(f"{side}_map")[i].bitwiseAND(F.bitwise_not(F.col(f"{other}_map")[i]))) for i in range(first, first + MAP_WORDS)]
         return sum(maps[1:], maps[0])
 
     size = lambda side, lost: F.col(f"{side}_d") - F.col(f"{side}_new") if lost else F.col(f"{side}_new")
-    common_at_most = sum((F.least(size("x", k) - only("x", "y", k * MAP_WORDS), size("y", k) - only("y", "x", k * MAP_WORDS)) for k in (0, 1)), F.lit(0))
-    fits = F.col("x_short") & (F.col("x_root") != F.col("y_root")) & ~(F.col("x_linked") & F.col("y_linked"))
-    fits = fits & (F.struct("x_d", "x_node") < F.struct("y_d", "y_node")) & (F.least("x_n", "y_n") >= F.greatest("x_n", "y_n") * F.lit(similarity) - 1e-9)
-    fits = fits & (need <= F.least(F.col("x_d") - F.col("x_pos"), F.col("y_d") - F.col("y_pos"))) & (need <= common_at_most)
-    return x.join(y, "g").filter(fits).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    common_at_most = sum((F.least(size("a", k) - only("a", "b", k * MAP_WORDS), size("b", k) - only("b", "a", k * MAP_WORDS)) for k in (0, 1)), F.lit(0))
+    alike = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(similarity) - 1e-9
+    return pairs.filter(alike & (need <= common_at_most)).select("a", "b").distinct()
 
 
 def links_of(sketches: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -291,14 +320,15 @@ def links_of(sketches: DataFrame, docs: DataFrame, similarity: float = SIMILARIT
     pairs = members.join(still, F.col("bucket") == F.col("k")).filter("node <> p").select("p", "node").distinct()
     near = common.stored(differences(pairs, texts, similarity), "differences")
     second = near.filter("linked").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"), "similarity")
-    posts = _rooted(near.drop("map", "similarity"), root).select("p", "node", "root", "linked", "n", "d", "new", F.inline("posts"))
+    posts = _rooted(posted(near), root)
     live = common.stored(_live(posts), "posts")
-    leads = live.filter("root <> lead.root").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
-    third = common.stored(verified(leads.filter(_alike(similarity)).select("a", "b").distinct(), texts, similarity), "links")
+    leads = live.filter("root <> lead.root").select("p", F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
+    leads = leads.filter(_alike(similarity)).select("p", "a", "b").distinct()
+    third = common.stored(verified(_possible(leads, near, similarity), texts, similarity), "links")
     links = first.unionByName(second).unionByName(third)
     root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(third.select("a", "b")))
-    left = _live(_rooted(live.drop("root", "lead"), root)).drop("lead").join(near.select("p", "node", "map"), ["p", "node"])
-    rest = _left_over(common.stored(left, "live-posts"), similarity)
+    left = common.stored(_live(_rooted(live.drop("root", "lead", "most"), root)).drop("lead"), "live-posts")
+    rest = _possible(_left_over(left, similarity), near, similarity)
     return nodes, links.unionByName(common.stored(verified(rest, texts, similarity), "links"))
 
 

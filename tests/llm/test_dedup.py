@@ -100,6 +100,32 @@ def test_links_of_one_bucket_are_complete(spark, seed):
     assert {frozenset(i for i, c in enumerate(got) if c == k) for k in set(got)} == {frozenset(i for i, c in enumerate(want) if c == k) for k in set(want)}
 
 
+def test_an_odd_pivot_makes_no_pairs_of_all(spark, monkeypatch):
+    """All texts of a bucket have in common what its pivot lacks: they are not compared with each other for that."""
+    rng = random.Random(5)
+    base, texts = [f"w{i}" for i in range(400)], []
+    for k in range(160):
+        words = list(base)
+        for at in rng.sample(range(400), 6 if k == 159 else 11):
+            words[at] = f"x{k}_{at}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    sketches = spark.createDataFrame([(i, i, hashlib.md5(t.encode()).digest(), 396, [1]) for i, t in enumerate(texts)], "key long, row long, content binary, n long, bands array<long>")
+    met, stored = [], common.stored
+
+    def watched(df, name):
+        out = stored(df, name)
+        if name == "live-posts":
+            met.append(out.groupBy("g").count().selectExpr("sum(count * count)").first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(common, "stored", watched)
+    links = {(r["a"], r["b"]) for r in near_dup.links_of(sketches, docs)[1].collect()}
+    s = [shingles(t) for t in texts]
+    assert links <= {(i, j) for i in range(160) for j in range(i + 1, 160) if similarity(s[i], s[j]) >= 0.8}
+    assert len(met) == 1 and met[0] < 60_000
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     n, k = 60, 2000
