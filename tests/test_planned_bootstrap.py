@@ -60,3 +60,16 @@ def test_a_clear_effect_is_significant(spark):
     per = spark.createDataFrame([("base", "flip", q, f"d{i}", "x", 1.0 + i / 9) for q in B.CONTRASTS for i in range(9)], "run string, outcome string, quantity string, decision_id string, domain string, decision_value double")
     found = O._planned_holm(E.kernel_summaries(per, ["run", "outcome", "quantity"], O.PLANNED_REPLICATES, O.SEED))
     assert {r[-1] for r in rows_of(found)} == {0.0008}
+
+
+def test_many_draws_are_counted_without_rows(spark):
+    """Counts of a domain with numbers of one to six digits, and of a prefix that md5 takes in two blocks, against single digests."""
+    from quillwork.operators import draws as D
+
+    for prefix, n in (("7|ASIA|12|", 100_050), ("x" * 60, 120)):
+        want = Counter(int(hashlib.md5(f"{prefix}{p}".encode()).hexdigest()[:8], 16) % n for p in range(n))
+        assert dict(enumerate(D.counted(prefix.encode(), n).tolist())) == {i: want[i] for i in range(n)}
+    rows = spark.range(3000).selectExpr("id AS decision_id", "if(id % 3 = 0, 'x', 'y') AS domain")
+    got = E.hash_draws(rows, 4, 9)
+    assert got.groupBy("replicate", "domain").agg(F.sum("weight").alias("w")).filter("w <> if(domain = 'x', 1000, 2000)").count() == 0
+    assert got.select("replicate", "decision_id").distinct().count() == got.count()
