@@ -1,6 +1,7 @@
 """The bootstrap with its planned parameters, against loops."""
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -73,3 +74,17 @@ def test_many_draws_are_counted_without_rows(spark):
     got = E.hash_draws(rows, 4, 9)
     assert got.groupBy("replicate", "domain").agg(F.sum("weight").alias("w")).filter("w <> if(domain = 'x', 1000, 2000)").count() == 0
     assert got.select("replicate", "decision_id").distinct().count() == got.count()
+
+
+def test_counts_are_not_broadcast(spark):
+    """Counts grow with decisions times replicates; their estimated size, that of the domains, must not send them to the driver."""
+    for name in ("bootstrap_counts",):
+        rows = QUERIES[name](spark, DATA)
+        assert rows.collect()
+        lines = rows._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0].splitlines()
+        depth = [re.match(r"[ :+-]*", x).end() for x in lines]
+        assert sum("MapInArrow" in x for x in lines)
+        for i, x in enumerate(lines):
+            if "BroadcastExchange" in x:
+                under = lines[i + 1 : next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))]
+                assert not any("MapInArrow" in y for y in under), name
