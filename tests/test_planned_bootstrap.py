@@ -78,7 +78,7 @@ def test_many_draws_are_counted_without_rows(spark):
 
 def test_counts_are_not_broadcast(spark):
     """Counts grow with decisions times replicates; their estimated size, that of the domains, must not send them to the driver."""
-    for name in ("bootstrap_counts",):
+    for name in ("bootstrap_counts", "bootstrap_intervals"):
         rows = QUERIES[name](spark, DATA)
         assert rows.collect()
         lines = rows._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0].splitlines()
@@ -88,3 +88,11 @@ def test_counts_are_not_broadcast(spark):
             if "BroadcastExchange" in x:
                 under = lines[i + 1 : next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))]
                 assert not any("MapInArrow" in y for y in under), name
+
+
+def test_blocks_without_a_domain(spark):
+    """Decisions' values are the same without the domain, which only the draws need."""
+    b, keys = O.blocks(spark, DATA), ["run", "outcome", "quantity"]
+    got = B.decision_values(b.drop("domain"), keys, cells=False)
+    assert "domain" not in got.columns
+    assert rows_of(got) == rows_of(B.decision_values(b, keys, cells=False).drop("domain"))
