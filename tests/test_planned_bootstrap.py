@@ -78,7 +78,7 @@ def test_many_draws_are_counted_without_rows(spark):
 
 def test_counts_are_not_broadcast(spark):
     """Counts grow with decisions times replicates; their estimated size, that of the domains, must not send them to the driver."""
-    for name in ("bootstrap_counts", "bootstrap_intervals"):
+    for name in ("bootstrap_counts", "bootstrap_intervals", "holm_adjusted"):
         rows = QUERIES[name](spark, DATA)
         assert rows.collect()
         lines = rows._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0].splitlines()
