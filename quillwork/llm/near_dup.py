@@ -262,18 +262,28 @@ def _live(posts: DataFrame) -> DataFrame:
     return posts.join(live.filter("lead IS NOT NULL AND lo <> hi AND NOT near").select("k", "lead", "most"), F.col("g") == F.col("k")).drop("k")
 
 
+def _cells(live: DataFrame, similarity: float) -> DataFrame:
+    """``live`` with ``from``, the cell where a post's interval begins, once for each ``cell`` that it has to be in: two at most.
+
+    Cells are as wide as the longest interval, c times the largest size, which makes both rows and comparisons fewest.  An
+    interval that is turned round lies wholly within that of any partner, so where it begins is enough."""
+    c = (1 - similarity) / (1 + similarity)
+    one, other = (F.col("d") - c * F.col("n")) / 2 - 1e-6, (F.col("d") + c * F.col("n")) / 2 - F.col("pos") + 1e-6
+    width = F.greatest(F.lit(1.0), c * F.col("most") + 1e-5)
+    cell = lambda x: F.floor(x / width).cast("int")
+    rows = live.withColumn("from", cell(F.least(one, other))).withColumn("upto", F.greatest("from", cell(other)))
+    return rows.select("*", F.explode(F.sequence("from", "upto")).alias("cell")).drop("upto")
+
+
 def _left_over(live: DataFrame, similarity: float) -> DataFrame:
     """Pairs ``p, a, b`` of posts across components that can have as many differences in common as they must, by their places.
 
     The first that x and y have in common has at least as many of either's differences from it on as they must have in
     common.  That is, the intervals of x and y from (d - c n) / 2 to (d + c n) / 2 - pos overlap (one of them may be
-    turned round), so they meet in the cell where the later one begins; cells are a part of the largest c n wide."""
+    turned round), so they meet in the cell where the later one begins."""
     c = (1 - similarity) / (1 + similarity)
-    one, other = (F.col("d") - c * F.col("n")) / 2 - 1e-6, (F.col("d") + c * F.col("n")) / 2 - F.col("pos") + 1e-6
-    width = F.greatest(F.lit(1.0), c * F.col("most") / 4)
-    cell = lambda x: F.floor(x / width).cast("int")
     names = ["node", "root", "linked", "n", "d", "pos", "short", "from"]
-    own = live.withColumn("from", cell(F.least(one, other))).select("p", "g", *names, F.explode(F.sequence("from", cell(F.greatest(one, other)))).alias("cell"))
+    own = _cells(live, similarity)
     x, y = (own.select("g", "cell", *(["p"] if side == "x" else []), *(F.col(n).alias(f"{side}_{n}") for n in names)) for side in "xy")
     need = F.greatest(F.lit(1.0), F.ceil((F.col("x_d") + F.col("y_d") - c * (F.col("x_n") + F.col("y_n"))) / 2 - 1e-6))
     fits = F.col("x_short") & (F.col("x_root") != F.col("y_root")) & ~(F.col("x_linked") & F.col("y_linked")) & (F.col("cell") == F.greatest("x_from", "y_from"))

@@ -1,6 +1,7 @@
 """Near-duplicates and repeated byte strings against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import DATA
+from pyspark.sql import DataFrame
 
 from quillwork.llm import common, components, near_dup, queries, suffix_dedup
 
@@ -217,3 +219,38 @@ def test_pairs_that_share_one_large_bucket(spark):
     sketches = spark.createDataFrame([(i, place[t], hashlib.md5(t.encode()).digest(), len(t.split()) - 4, [1, *(1000 * (i + 1) + b for b in range(24))]) for i, t in enumerate(texts)], "key long, row long, content binary, n long, bands array<long>")
     links = near_dup.links_of(sketches, docs)[1]
     assert {(r["a"], r["b"]) for r in links.collect()} == {(place[texts[20]], place[texts[21]])}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_a_post_is_in_two_cells_at_most(spark, seed):
+    """Posts of families of all sizes, intervals turned round among them: the pairs are those of all pairs of a group."""
+    rng, c, rows = random.Random(seed), 0.2 / 1.8, []
+    for g in range(6):
+        largest = rng.choice([3, 40, 200, 800])
+        for node in range(60):
+            n = largest - rng.randint(0, largest // 4)
+            d = rng.randint(1, n)
+            rows.append((1, 100 * g + node, rng.randint(0, 3), rng.random() < 0.2, n, d, g, rng.randint(0, min(d - 1, int(2.25 * c * n) + 1)), rng.random() < 0.5))
+    most = {g: max(r[4] for r in rows if r[6] == g) for g in range(6)}
+    live = spark.createDataFrame([(*r, most[r[6]]) for r in rows], "p long, node long, root long, linked boolean, n long, d long, g long, pos int, short boolean, most long")
+    want = set()
+    for _, a, ra, la, na, da, ga, pa_, short, *_ in rows:
+        for _, b, rb, lb, nb, db, gb, pb, *_ in rows:
+            need = max(1, math.ceil((da + db - c * (na + nb)) / 2 - 1e-6))
+            if ga == gb and short and ra != rb and not (la and lb) and (da, a) < (db, b) and min(na, nb) >= 0.8 * max(na, nb) - 1e-9 and need <= min(da - pa_, db - pb):
+                want.add((1, min(a, b), max(a, b)))
+    assert sum(d + c * n < 2 * pos + d - c * n for *_, n, d, _, pos, _ in rows) > 20 and len(want) > 100
+    assert {tuple(r) for r in near_dup._left_over(live, 0.8).collect()} == want
+    cells = near_dup._left_over(live, 0.8)._jdf.queryExecution().optimizedPlan()
+    made = [x for x in _nodes(cells) if x.nodeName() == "Generate"]
+    assert made and all(len(_rows(spark, x)) <= 2 * len(rows) for x in made)
+
+
+def _nodes(plan):
+    below = plan.children()
+    return [plan, *(x for i in range(below.size()) for x in _nodes(below.apply(i)))]
+
+
+def _rows(spark, plan):
+    """What a node of a plan returns."""
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark).collect()
