@@ -96,3 +96,24 @@ def test_blocks_without_a_domain(spark):
     got = B.decision_values(b.drop("domain"), keys, cells=False)
     assert "domain" not in got.columns
     assert rows_of(got) == rows_of(B.decision_values(b, keys, cells=False).drop("domain"))
+
+
+def test_scored_rows_stay_in_their_task(spark):
+    """The rows that are made of an order meet where they are made, and decisions are placed once."""
+    for name in ("bootstrap_intervals", "holm_adjusted"):
+        rows = QUERIES[name](spark, DATA)
+        assert rows.collect()
+        lines = rows._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0].splitlines()
+        assert any("Exchange hashpartitioning" in x for x in lines)
+        assert not any("Exchange hashpartitioning" in x and "opening_id" in x for x in lines), name
+        assert sum("row_number() windowspecdefinition(domain" in x for x in lines) == 1, name
+
+
+def test_estimates_over_several_blocks(spark):
+    """Blocks' widths, the last one's too, against the counts of single decisions; some decisions have no value."""
+    who = spark.range(1500).selectExpr("id AS decision_id", "if(id % 10 = 0, 'x', 'y') AS domain")
+    per = who.filter("decision_id % 7 > 0").selectExpr("'base' AS run", "decision_id", "decision_id % 13 / 8.0D AS decision_value")
+    got = {r["replicate"]: r["replicate_estimate"] for r in E.replicate_estimates(per, who, 5, 3, ["run"]).collect()}
+    both = E.hash_draws(who, 5, 3).join(per, "decision_id").groupBy("replicate").agg((F.sum(F.col("weight") * F.col("decision_value")) / F.sum("weight")).alias("e"))
+    want = {r["replicate"]: r["e"] for r in both.collect()}
+    assert len(want) == 5 and got.keys() == want.keys() and np.allclose([got[k] for k in want], [*want.values()], atol=1e-12)
