@@ -15,6 +15,14 @@ def test_intervals_take_all_replicates(spark):
     assert "range(0, 9999)" in SQL["bootstrap_intervals"] and "range(0, 60)" not in SQL["bootstrap_intervals"]
 
 
+def test_holm_takes_all_replicates(spark):
+    """Families of four of each run and outcome, with p-values in steps of 2 / 10,000 (of 2 / 61 at 60 replicates)."""
+    rows = QUERIES["holm_adjusted"](spark, DATA).collect()
+    assert len(rows) == 16 and {r["outcome"] for r in rows} == {"movement", "flip"} and {r["family_size"] for r in rows} == {4}
+    assert all(abs(r["p_boot"] * 5000 - round(r["p_boot"] * 5000)) < 1e-9 for r in rows)
+    assert "range(0, 9999)" in SQL["holm_adjusted"] and "range(0, 60)" not in SQL["holm_adjusted"]
+
+
 def test_limits_halfway_between_numbers(spark, duck):
     """Interpolated limits that fall between two numbers of six digits are rounded as in DuckDB."""
     rng = np.random.default_rng(3)
